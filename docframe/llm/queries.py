@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docframe.llm import overlap
+from docframe.llm import langid, leakage, overlap
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -21,6 +21,23 @@ def p4_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(_read(spark, folder, "instruction_records"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.leaks(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
+    return found.where("verbatim").select("doc_id", "item_id").distinct()
+
+
+def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.wrong_labels(_read(spark, folder, "documents"))
+
+
+def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages(_read(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit() and callable(f)}
 

@@ -21,7 +21,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
 #: Characters laid end to end at a time; a longer text is handled alone.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 _table: np.ndarray | None = None
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)

@@ -16,11 +16,11 @@ RECORDS = "instruction string, input string, output string"
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV table with a header, by a fixed schema; fields may hold line breaks."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', quote='"', enforceSchema=False)
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', quote='"', enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"', quote='"', sep=sep)
+    df.write.mode("overwrite").csv(path, header=True, escape='"', quote='"', sep=sep, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_records(spark: SparkSession, path: str, prompt: str = "instruction", lines: bool = False) -> DataFrame:

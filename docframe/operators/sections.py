@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docframe.functions.labels import PENDING, SECTIONS, categorise, closest_alias, section_name
 from docframe.functions.numerals import clean_spaces, is_upper, next_number, numeral_format, roman_by_format, words
 from docframe.functions.text import strip
-from docframe.operators.segment import PARAGRAPH_ORDER, section_fill
+from docframe.operators.segment import paragraph_order, section_fill
 
 # The words that headings are looked for by, and those that close a decision.
 HEADINGS = ["ANTECEDENTES", "CONSIDERACIONES", "NORMA DEMANDADA", "NORMA ACUSADA", "DEMANDA", "DECISION", "DECISIÓN"]
@@ -24,7 +24,7 @@ def section_format(paragraphs: DataFrame) -> DataFrame:
 
     A heading without a numeral takes that of the paragraph before it; of equally frequent formats the first counts.
     """
-    before = F.lag("text").over(PARAGRAPH_ORDER)
+    before = F.lag("text").over(paragraph_order())
     rows = paragraphs.where("text is not null").select("document", "paragraph_id", "text", before.alias("before"))
     hits = rows.select("document", "paragraph_id", "text", "before", F.explode(F.filter(F.array(*map(F.lit, HEADINGS)), lambda k: F.col("text").contains(k))).alias("keyword"))
     first = hits.groupBy("document", "keyword").agg(F.min_by(F.struct("paragraph_id", "text", "before"), "paragraph_id").alias("p")).select("document", "p.*").distinct()
@@ -91,7 +91,7 @@ def dissents(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
     marks = styles.where(heading).select("document", "paragraph_id", F.length("text").alias("head"))
     whole = paragraphs.select("document", "paragraph_id", F.length("text").alias("size"))
     good = marks.join(whole, ["document", "paragraph_id"]).where(F.col("size") < F.col("head") + SLACK).groupBy("document", "paragraph_id").agg(F.count("*").alias("k"))
-    number = F.sum("k").over(PARAGRAPH_ORDER.rowsBetween(W.unboundedPreceding, 0))
+    number = F.sum("k").over(paragraph_order().rowsBetween(W.unboundedPreceding, 0))
     starts = good.select("document", "paragraph_id", F.concat(F.lit("Dissenting Opinion - "), number.cast("string")).alias("section"))
     return section_fill(paragraphs, starts)
 
@@ -105,7 +105,7 @@ def signatures(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
     closing = F.lower("text").rlike(CLOSING)
     real = styles.where(closing & (F.coalesce(~F.col("text_type").isin("quote", "footnote"), F.lit(True)))).select("document", "paragraph_id").distinct().withColumn("real", F.lit(True))
     hits = paragraphs.where(closing).select("document", "paragraph_id", "section")
-    gap = F.lead("paragraph_id").over(PARAGRAPH_ORDER) - F.col("paragraph_id")
+    gap = F.lead("paragraph_id").over(paragraph_order()) - F.col("paragraph_id")
     last = hits.withColumn("gap", gap).join(real, ["document", "paragraph_id"]).where("gap is null or gap > 8")
     begin = last.groupBy("document", "section").agg(F.min("paragraph_id").alias("begin"))
     joined = paragraphs.join(begin, ["document", "section"], "left")

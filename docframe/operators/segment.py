@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from docframe.functions import markup
 from docframe.functions.numerals import is_upper
 
-PARAGRAPH_ORDER = W.partitionBy("document").orderBy("paragraph_id")
+
+def paragraph_order():
+    """The window of a document's paragraphs in order (a function: windows need a session)."""
+    return W.partitionBy("document").orderBy("paragraph_id")
 
 
 def latest(table: DataFrame, keys: list[str], when: str = "ingested_at", tie: str = "id") -> DataFrame:
@@ -124,14 +127,14 @@ def section_fill(paragraphs: DataFrame, starts: DataFrame) -> DataFrame:
     """Each paragraph with the section that started last at or before it; before the first, its own."""
     rows = paragraphs.drop("section").join(starts.select("document", "paragraph_id", F.col("section").alias("start")), ["document", "paragraph_id"], "left")
     own = paragraphs.select("document", "paragraph_id", F.col("section").alias("own"))
-    filled = F.last("start", ignorenulls=True).over(PARAGRAPH_ORDER.rowsBetween(W.unboundedPreceding, 0))
+    filled = F.last("start", ignorenulls=True).over(paragraph_order().rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("filled", filled).join(own, ["document", "paragraph_id"], "left").withColumn("section", F.coalesce("filled", "own")).drop("start", "filled", "own")
 
 
 def boundary_filter(paragraphs: DataFrame) -> DataFrame:
     """The first paragraph of each consecutive run of one section in a document."""
-    before = F.lag("section").over(PARAGRAPH_ORDER)
-    first = F.lag("paragraph_id").over(PARAGRAPH_ORDER).isNull()
+    before = F.lag("section").over(paragraph_order())
+    first = F.lag("paragraph_id").over(paragraph_order()).isNull()
     return paragraphs.withColumn("turn", first | ~before.eqNullSafe(F.col("section"))).where("turn").drop("turn")
 
 
@@ -143,8 +146,8 @@ def previous_block(styles: DataFrame) -> DataFrame:
 
 def merge_chunks(paragraphs: DataFrame, n: int = 3, label: str = "section") -> DataFrame:
     """(document, chunk, label, rows, text): consecutive paragraphs of one label joined, at most n + 2 together."""
-    turn = ~F.lag(label).over(PARAGRAPH_ORDER).eqNullSafe(F.col(label)) | F.lag("paragraph_id").over(PARAGRAPH_ORDER).isNull()
-    rows = paragraphs.withColumn("run", F.sum(turn.cast("int")).over(PARAGRAPH_ORDER.rowsBetween(W.unboundedPreceding, 0)))
+    turn = ~F.lag(label).over(paragraph_order()).eqNullSafe(F.col(label)) | F.lag("paragraph_id").over(paragraph_order()).isNull()
+    rows = paragraphs.withColumn("run", F.sum(turn.cast("int")).over(paragraph_order().rowsBetween(W.unboundedPreceding, 0)))
     place = F.row_number().over(W.partitionBy("document", "run").orderBy("paragraph_id")) - 1
     rows = rows.withColumn("part", F.floor(place / (n + 2)).cast("int"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_id", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " ")
@@ -159,7 +162,7 @@ def sliding_chunks(paragraphs: DataFrame, n: int = 5, overlap: int = 2, wrap: bo
     if not 0 <= overlap < n:
         raise ValueError("0 <= overlap < n is needed")
     step = n - overlap
-    place = (F.row_number().over(PARAGRAPH_ORDER) - 1).cast("int")
+    place = (F.row_number().over(paragraph_order()) - 1).cast("int")
     rows = paragraphs.select("document", "paragraph_id", "section", F.coalesce("text", F.lit("")).alias("text"), place.alias("at"))
     # The windows that hold the paragraph at place k start at multiples of the step from k - n + 1 to k.
     low = F.greatest(F.lit(0), F.ceil((F.col("at") - n + 1) / step)).cast("int")

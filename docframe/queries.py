@@ -549,14 +549,14 @@ def _(t):
 
 @query("opinion_ffill", f"SELECT id, last_value(nullif(section, 'Pending') IGNORE NULLS) OVER (PARTITION BY document ORDER BY paragraph_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM {_P}")
 def _(t):
-    w = segment.PARAGRAPH_ORDER.rowsBetween(-(2**63), 0)
+    w = segment.paragraph_order().rowsBetween(-(2**63), 0)
     return t.P.select("id", F.last(F.nullif("section", F.lit("Pending")), ignorenulls=True).over(w).alias("section"))
 
 
 @query("opinion_counter", f"SELECT id, sum((contains(lower(text), 'salvamento') AND text = upper(text))::INTEGER) OVER (PARTITION BY document ORDER BY paragraph_id)::BIGINT AS opinions FROM {_P} WHERE text IS NOT NULL")
 def _(t):
     flag = (F.lower("text").contains("salvamento") & (F.col("text") == F.upper("text"))).cast("int")
-    return t.P.where("text is not null").select("id", F.sum(flag).over(segment.PARAGRAPH_ORDER).alias("opinions"))
+    return t.P.where("text is not null").select("id", F.sum(flag).over(segment.paragraph_order()).alias("opinions"))
 
 
 @query("boundary_filter", f"SELECT id, section FROM (SELECT id, section, lag(section) OVER w AS b, row_number() OVER w AS k FROM {_P} WINDOW w AS (PARTITION BY document ORDER BY paragraph_id)) WHERE k = 1 OR b IS DISTINCT FROM section")

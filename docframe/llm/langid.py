@@ -43,7 +43,9 @@ LINE_LETTERS, LINE_SENTENCES, JUDGED_LETTERS = 80, 2, 25
 #: Least confidence of a line in another language than its document.
 SURE = 0.9
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_SENTENCE = re.compile(r"[^\W\d_]{2}[^.!?\n]*[.!?…]+[\"'»”)\]]*(?=\s|$)")
+# Months before which a full stop is that of a German date.
+_MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
+_SENTENCE = re.compile(rf"[^\W\d_]{{2}}[^.!?\n]*[.!?…]+[\"'»”)\]]*(?=\s|$)(?!\s+(?:{_MONTHS})\b)")
 
 _letters: np.ndarray | None = None
 

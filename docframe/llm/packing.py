@@ -18,6 +18,8 @@ from docframe.plans.lineage import materialise
 
 CAPACITY = 1024
 ITEMS_AT_ONCE = 50_000
+#: Containers with a greater part empty at the end are packed again.
+LOOSE = 0.02
 #: A token: a run of letters, digits and underscores, or of other characters that are not white space.
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -70,10 +72,44 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return out
 
 
+def tighten(sizes: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """The same, with the items of containers left over LOOSE empty packed again, largest first, each where it fits best.
+
+    Sums of squares leave some containers open when the items end; this is kept only if it needs fewer containers.
+    """
+    if not len(sizes):
+        return bins
+    loose = np.bincount(bins, sizes)[bins] < (1 - LOOSE) * capacity
+    items = np.nonzero(loose)[0]
+    items = items[np.argsort(-sizes[items], kind="stable")]
+    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+    count = np.zeros(capacity + 1, np.int64)
+    again, used = np.empty(len(items), np.int64), 0
+    for k, size in enumerate(sizes[items].tolist()):
+        fits = np.flatnonzero(count[size:])
+        if len(fits):
+            gap = size + int(fits[0])
+            bin_ = open_bins[gap].pop()
+            count[gap] -= 1
+        else:
+            gap, bin_, used = capacity, used, used + 1
+        again[k] = bin_
+        open_bins[gap - size].append(bin_)
+        count[gap - size] += 1
+    if used >= len(np.unique(bins[items])):
+        return bins
+    out = bins.copy()
+    kept = np.unique(bins[~loose], return_inverse=True)
+    out[~loose] = kept[1]
+    out[items] = len(kept[0]) + again
+    return out
+
+
 def _pack(capacity: int):
     def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["h", "doc_id", "piece"])
-        return pd.DataFrame({"doc_id": table["doc_id"], "piece": table["piece"], "tokens": table["tokens"], "part": key[0], "place": sum_of_squares(table["tokens"].to_numpy(), capacity)})
+        sizes = table["tokens"].to_numpy()
+        return pd.DataFrame({"doc_id": table["doc_id"], "piece": table["piece"], "tokens": table["tokens"], "part": key[0], "place": tighten(sizes, sum_of_squares(sizes, capacity), capacity)})
 
     return run
 

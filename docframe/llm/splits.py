@@ -20,7 +20,7 @@ from docframe.plans.lineage import materialise, release
 
 BINS = 200
 #: Groups that one task balances.
-GROUPS_AT_ONCE = 100_000
+GROUPS_AT_ONCE = 20_000
 
 # Titles before names, and words of fillers that name nobody.
 TITLES = "dr dra mp mag ponente magistrado magistrada doctor doctora sr sra".split()
@@ -96,26 +96,28 @@ def difference(weights: np.ndarray, bins: int) -> np.ndarray:
     Partial solutions are vectors of bin sums; the two with the largest spreads are combined, the fullest bins of one
     with the emptiest of the other, until one is left.
     """
-    order = np.argsort(-weights, kind="stable")
-    heap, rows = [], [order[i : i + bins] for i in range(0, len(order), bins)]
-    slots: list[list[list[int]]] = []
-    for k, row in enumerate(rows):
-        sums = np.zeros(bins)
-        sums[: len(row)] = weights[row]
-        slots.append([[int(i)] for i in row] + [[] for _ in range(bins - len(row))])
-        heapq.heappush(heap, (-(sums[0] - sums[-1]), k, sums))
+    heap: list[tuple] = [(-float(w), k, None, None) for k, w in enumerate(weights)]
+    heapq.heapify(heap)
+
+    def opened(entry: tuple) -> tuple[np.ndarray, list[list[int]]]:
+        spread, k, sums, slots = entry
+        if sums is None:
+            sums = np.zeros(bins)
+            sums[0] = -spread
+            slots = [[k], *([] for _ in range(bins - 1))]
+        return sums, slots
+
     while len(heap) > 1:
-        (_, a, x), (_, b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        one, other = heapq.heappop(heap), heapq.heappop(heap)
+        (x, p), (y, q) = opened(one), opened(other)
         total = x + y[::-1]
-        merged = [p + q if len(p) >= len(q) else q + p for p, q in zip(slots[a], slots[b][::-1])]
-        slots[b] = []
         new = np.argsort(-total, kind="stable")
-        slots[a] = [merged[i] for i in new]
+        slots = [p[i] + q[-1 - i] if p[i] and q[-1 - i] else p[i] or q[-1 - i] for i in new.tolist()]
         total = total[new]
-        heapq.heappush(heap, (-(total[0] - total[-1]), a, total))
+        heapq.heappush(heap, (-float(total[0] - total[-1]), one[1], total, slots))
     out = np.zeros(len(weights), np.int64)
     if heap:
-        for b, members in enumerate(slots[heap[0][1]]):
+        for b, members in enumerate(opened(heap[0])[1]):
             out[members] = b
     return out
 

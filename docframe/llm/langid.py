@@ -38,6 +38,8 @@ BUCKET_BITS = 16
 NO_BUCKET = 1 << BUCKET_BITS
 #: Documents of each labelled language that the classifier is fitted on, and the longest taken (others: skipped whole).
 SAMPLE, SAMPLE_CHARS = 300, 12_000
+#: Fewest lines of the sample with an n-gram: rarer ones are mostly parts of names.
+LEAST_LINES = 10
 #: Fewest letters and sentences of a line that can make a document mixed; fewest letters to be judged at all.
 LINE_LETTERS, LINE_SENTENCES, JUDGED_LETTERS = 80, 2, 25
 #: Least confidence of a line in another language than its document.
@@ -164,7 +166,7 @@ def _features(lines: Lines, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def _ftrl(features: list, labels: np.ndarray, passes: int, alpha=0.3, beta=1.0, l1=0.02, l2=0.02, seed=7) -> tuple[np.ndarray, np.ndarray]:
+def _ftrl(features: list, labels: np.ndarray, passes: int, alpha=0.2, beta=1.0, l1=0.1, l2=0.02, seed=7) -> tuple[np.ndarray, np.ndarray]:
     """Follow the regularised leader, proximal, one row at a time; the last weight row is the bias."""
     size, rng = (1 << BUCKET_BITS) + 1, np.random.default_rng(seed)
     z, n = np.zeros((size, len(LANGS))), np.zeros((size, len(LANGS)))
@@ -211,7 +213,7 @@ def fit(texts: list[str], labels: list[str], passes: int = 3) -> Model:
     y = np.array([LANGS.index(x) for x in labels])[lines.owner[rows]]
     features = _features(lines, rows)
     df = np.bincount(np.concatenate([f for f, _ in features]), minlength=1 << BUCKET_BITS)
-    idf = np.log((1 + len(features)) / (1 + df)) + 1
+    idf = np.where(df < LEAST_LINES, 0, np.log((1 + len(features)) / (1 + df)) + 1)
     features = [(f, x * idf[f]) for f, x in features]
     held = np.arange(len(rows)) % 10 == 9
     use = np.nonzero(~held)[0]

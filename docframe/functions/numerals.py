@@ -71,19 +71,17 @@ def alpha_by_format(text: Column) -> Column:
 
 def numeral_format(text: Column) -> Column:
     """Struct (format, number) of the first numeral, by fixed priority of formats; ('unknown', '-1') if none."""
-    arabic, roman, alpha = arabic_by_format(text), roman_by_format(text), alpha_by_format(text)
-    first = lambda xs: F.try_element_at(xs, F.lit(1))
-    without = lambda x, sign: F.replace(x, F.lit(sign), F.lit(""))
-    kind = lambda name, number: F.struct(F.lit(name).alias("format"), number.alias("number"))
-    return (
-        F.when(F.size(arabic.hyphen) > 0, kind("ara-hyphen", without(first(arabic.hyphen), "-")))
-        .when(F.size(arabic.dot) > 0, kind("ara-dot", without(first(arabic.dot), ".")))
-        .when(F.size(roman.hyphen) > 0, kind("rom-hyphen", without(first(roman.hyphen), "-")))
-        .when(F.size(roman.dot) > 0, kind("rom-dot", without(first(roman.dot), ".")))
-        .when(alpha.hyphen != "", kind("alpha-hyphen", without(alpha.hyphen, "-")))
-        .when(alpha.dot != "", kind("alpha-dot", without(alpha.dot, ".")))
-        .when(text.isNotNull(), kind("unknown", F.lit("-1")))
-    )
+    w = words(clean_spaces(text))
+    found = [
+        ("ara-hyphen", F.regexp_extract(text, r"(?U)\b\d+\b-", 0), "-"),
+        ("ara-dot", F.regexp_extract(text, r"(?U)\b\d+\b\.", 0), "."),
+        ("rom-hyphen", F.try_element_at(F.filter(w, lambda x: x.rlike("^[MDCLXVI]*-$")), F.lit(1)), "-"),
+        ("rom-dot", F.try_element_at(F.filter(w, lambda x: x.rlike(r"^[MDCLXVI]*\.-?$")), F.lit(1)), "."),
+        ("alpha-hyphen", F.regexp_extract(text, "^[A-Z] *- *", 0), "-"),
+        ("alpha-dot", F.regexp_extract(text, r"^[A-Z] *\. *", 0), "."),
+    ]
+    kinds = [F.when(x != "", F.struct(F.lit(name).alias("format"), F.replace(x, F.lit(sign), F.lit("")).alias("number"))) for name, x, sign in found]
+    return F.coalesce(*kinds, F.when(text.isNotNull(), F.struct(F.lit("unknown").alias("format"), F.lit("-1").alias("number"))))
 
 
 def roman_to_int(text: Column) -> Column:

@@ -10,6 +10,7 @@ from docframe.functions.labels import PENDING, SECTIONS, categorise, closest_ali
 from docframe.functions.numerals import clean_spaces, is_upper, next_number, numeral_format, roman_by_format, words
 from docframe.functions.text import strip
 from docframe.operators.segment import paragraph_order, section_fill
+from docframe.plans.lineage import materialise
 
 # The words that headings are looked for by, and those that close a decision.
 HEADINGS = ["ANTECEDENTES", "CONSIDERACIONES", "NORMA DEMANDADA", "NORMA ACUSADA", "DEMANDA", "DECISION", "DECISIÓN"]
@@ -28,21 +29,27 @@ def section_format(paragraphs: DataFrame) -> DataFrame:
     rows = paragraphs.where("text is not null").select("document", "paragraph_id", "text", before.alias("before"))
     hits = rows.select("document", "paragraph_id", "text", "before", F.explode(F.filter(F.array(*map(F.lit, HEADINGS)), lambda k: F.col("text").contains(k))).alias("keyword"))
     first = hits.groupBy("document", "keyword").agg(F.min_by(F.struct("paragraph_id", "text", "before"), "paragraph_id").alias("p")).select("document", "p.*").distinct()
-    own = numeral_format(F.left(strip(F.col("text")), F.lit(15)))["format"]
-    other = F.coalesce(numeral_format(strip(F.col("before")))["format"], F.lit("unknown"))
-    found = first.select("document", "paragraph_id", F.when(own != "unknown", own).otherwise(other).alias("format")).where("format <> 'unknown'")
+    first = first.withColumn("own", numeral_format(F.left(strip(F.col("text")), F.lit(15)))["format"])
+    subject = F.when(F.col("own") == "unknown", strip(F.col("before")))
+    first = first.withColumn("other", numeral_format(subject)["format"])
+    found = first.select("document", "paragraph_id", F.when(F.col("own") != "unknown", F.col("own")).otherwise(F.coalesce("other", F.lit("unknown"))).alias("format")).where("format <> 'unknown'")
     counted = found.groupBy("document", "format").agg(F.count("*").alias("n"), F.min("paragraph_id").alias("first"))
     return counted.groupBy("document").agg(F.max_by("format", F.struct("n", -F.col("first"))).alias("format"))
 
 
-def _candidate(text: Column, kind: Column) -> Column:
-    """The number after the one a paragraph begins with, if it can be a heading of the format; else null."""
-    token = words(clean_spaces(F.left(strip(text), F.lit(10))))
-    roman = roman_by_format(token[0])
-    number = F.when(kind == "rom-hyphen", F.try_element_at(roman.hyphen, F.lit(1))).when(kind == "rom-dot", F.try_element_at(roman.dot, F.lit(1)))
-    head = F.left(strip(text), F.lit(15))
-    arabic = F.when(((kind == "ara-hyphen") & head.rlike(ARABIC_START["ara-hyphen"])) | ((kind == "ara-dot") & head.rlike(ARABIC_START["ara-dot"])), next_number(words(head)[0]))
-    return F.when(kind.startswith("rom"), F.when((F.length(text) < 75) & (F.size(token) > 1), next_number(number))).otherwise(arabic)
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(document, paragraph_id, roman, n) of (document, paragraph_id, text, format): the number after the one that a possible heading begins with.
+
+    Each step is a column of its own, so that no expression is computed twice.
+    """
+    roman = F.col("format").startswith("rom")
+    rows = rows.where((roman & (F.length("text") < 75)) | (~roman & F.col("text").rlike(r"^(?U)\s*\d")))
+    rows = rows.withColumn("head", F.left(strip(F.col("text")), F.lit(15)))
+    rows = rows.withColumn("token", words(clean_spaces(F.left("head", F.lit(10))))).withColumn("numeral", roman_by_format(F.col("token")[0]))
+    first = F.when(F.col("format") == "rom-hyphen", F.try_element_at(F.col("numeral.hyphen"), F.lit(1))).when(F.col("format") == "rom-dot", F.try_element_at(F.col("numeral.dot"), F.lit(1)))
+    is_arabic = ((F.col("format") == "ara-hyphen") & F.col("head").rlike(ARABIC_START["ara-hyphen"])) | ((F.col("format") == "ara-dot") & F.col("head").rlike(ARABIC_START["ara-dot"]))
+    number = F.when(roman, F.when(F.size("token") > 1, first)).when(is_arabic, words(F.col("head"))[0])
+    return rows.withColumn("number", number).where("number is not null").select("document", "paragraph_id", roman.alias("roman"), next_number(F.col("number")).alias("n"))
 
 
 def section_starts(paragraphs: DataFrame, formats: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def section_starts(paragraphs: DataFrame, formats: DataFrame) -> DataFrame:
 
     The scan is greedy and depends on order, so each document's few candidates are folded in an array.
     """
-    rows = paragraphs.join(formats, "document").select("document", "paragraph_id", F.col("format").startswith("rom").alias("roman"), _candidate(F.col("text"), F.col("format")).alias("n")).where("n is not null")
+    rows = _candidates(paragraphs.join(formats, "document").select("document", "paragraph_id", "text", "format"))
     listed = rows.groupBy("document").agg(F.first("roman").alias("roman"), F.array_sort(F.collect_list(F.struct("paragraph_id", "n"))).alias("xs"))
     start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("ids"))
 
@@ -64,9 +71,9 @@ def section_starts(paragraphs: DataFrame, formats: DataFrame) -> DataFrame:
 def name_starts(paragraphs: DataFrame, starts: DataFrame) -> DataFrame:
     """(document, paragraph_id, section): starts named by the dictionary, or by the nearest alias below FUZZY edits."""
     rows = paragraphs.join(starts, ["document", "paragraph_id"], "left_semi").select("document", "paragraph_id", "text")
-    known = section_name(F.left("text", F.lit(50)))
-    near = closest_alias(F.col("text"), SECTIONS)
-    name = F.when(known != PENDING, known).when(near["distance"] < FUZZY, near["section"]).otherwise(F.lit(PENDING))
+    rows = rows.withColumn("known", section_name(F.left("text", F.lit(50))))
+    rows = rows.withColumn("near", closest_alias(F.when(F.col("known") == PENDING, F.col("text")), SECTIONS))
+    name = F.when(F.col("known") != PENDING, F.col("known")).when(F.col("near.distance") < FUZZY, F.col("near.section")).otherwise(F.lit(PENDING))
     return rows.select("document", "paragraph_id", name.alias("section"))
 
 
@@ -139,12 +146,12 @@ def push_sections(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
 
 def annotate(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
     """Paragraphs with sections found from their text: numbered headings, or capitals where a document has none; then dissents and signatures."""
-    plain = paragraphs.withColumn("section", F.lit("header"))
-    formats = section_format(plain)
+    plain, styles = materialise(paragraphs.withColumn("section", F.lit("header")), "plain"), materialise(styles, "styles")
+    formats = materialise(section_format(plain), "formats")
     numbered = section_starts(plain, formats)
     rest = starts_without_number(plain, styles).join(formats, "document", "left_anti")
-    named = name_starts(plain, numbered.unionByName(rest))
-    return signatures(dissents(section_fill(plain, named), styles), styles)
+    filled = materialise(section_fill(plain, name_starts(plain, numbered.unionByName(rest))), "filled")
+    return signatures(materialise(dissents(filled, styles), "dissents"), styles)
 
 
 def fuzzy_pending(paragraphs: DataFrame) -> DataFrame:

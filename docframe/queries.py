@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import labels, markup, numerals, text as texts
 from docframe.operators import evaluate, joins, prompts, sampling, sections, segment, stats
-from docframe.plans.lineage import shared_dir
+from docframe.plans.lineage import materialise, shared_dir
 from docframe.sources import files
 from docframe.streaming import ingest
 
@@ -618,19 +618,20 @@ def _(t):
       UNION ALL SELECT c.document, c.k, CASE WHEN c.n >= s.at AND (NOT c.roman OR c.n - s.at < 10) THEN c.n ELSE s.at END, c.n >= s.at AND (NOT c.roman OR c.n - s.at < 10), c.paragraph_id FROM s JOIN c ON c.document = s.document AND c.k = s.k + 1)
     SELECT document, paragraph_id FROM s WHERE good""")
 def _(t):
-    return sections.section_starts(t.P, sections.section_format(t.P))
+    paragraphs = materialise(t.P, "paragraphs")
+    return sections.section_starts(paragraphs, sections.section_format(paragraphs))
 
 
 def _sectioned(t) -> DataFrame:
-    plain = t.P.withColumn("section", F.lit("header"))
-    starts = sections.section_starts(plain, sections.section_format(plain))
+    plain = materialise(t.P.withColumn("section", F.lit("header")), "plain")
+    starts = materialise(sections.section_starts(plain, sections.section_format(plain)), "starts")
     return segment.section_fill(plain, sections.name_starts(plain, starts))
 
 
 @query("section_names")
 def _(t):
-    starts = sections.section_starts(t.P, sections.section_format(t.P))
-    return sections.name_starts(t.P, starts)
+    paragraphs = materialise(t.P, "paragraphs")
+    return sections.name_starts(paragraphs, sections.section_starts(paragraphs, sections.section_format(paragraphs)))
 
 
 @query("section_lengths")

@@ -61,8 +61,13 @@ def closest_alias(text: Column, dictionary: dict[str, list[str]]) -> Column:
 
 def first_label(text: Column, labels: list[str] = LABELS) -> Column:
     """The label that stands first in the lower-cased text, earlier labels first at equal places; 'none' if none."""
-    places = F.array(*(F.struct(F.instr(F.lower(text), x).alias("at"), F.lit(k).alias("ord"), F.lit(x).alias("label")) for k, x in enumerate(labels)))
-    return F.when(text.isNotNull(), F.coalesce(F.array_min(F.filter(places, lambda p: p["at"] > 0))["label"], F.lit("none")))
+
+    def found(low: Column) -> Column:
+        places = (F.struct(F.instr(low, x).alias("at"), F.lit(k).alias("ord"), F.lit(x).alias("label")) for k, x in enumerate(labels))
+        return F.coalesce(F.array_min(F.filter(F.array(*places), lambda p: p["at"] > 0))["label"], F.lit("none"))
+
+    # The lambda's variable holds the lower-cased text, which is computed once and not for each label.
+    return F.when(text.isNotNull(), F.transform(F.array(F.lower(text)), found)[0])
 
 
 def contained_class(text: Column, classes: list[str] = LABELS) -> Column:

@@ -19,9 +19,12 @@ def accuracy_strip(rows: DataFrame, label: str, prediction: str) -> DataFrame:
 def class_report(rows: DataFrame, label: str, prediction: str) -> DataFrame:
     """(label, precision, recall, f1, support) of every class that occurs on either side; 0 where undefined."""
     pairs = rows.groupBy(F.col(label).alias("t"), F.col(prediction).alias("p")).agg(F.count("*").alias("n"))
-    true = pairs.where("t is not null").groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"))
-    said = pairs.where("p is not null").groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("said"))
-    both = true.join(said, "label", "full").na.fill(0)
+    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)
+    none = F.lit(0).cast("long")
+    as_true = F.struct(F.col("t").alias("label"), hit.alias("tp"), none.alias("said"), F.col("n").alias("support"))
+    as_said = F.struct(F.col("p").alias("label"), none.alias("tp"), F.col("n").alias("said"), none.alias("support"))
+    rows = pairs.select(F.explode(F.array(as_true, as_said)).alias("x")).select("x.*").where("label is not null")
+    both = rows.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "said", "support")))
     precision, recall = F.coalesce(F.try_divide("tp", "said"), F.lit(0.0)), F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))
     return both.select("label", precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"), "support")
 

@@ -60,6 +60,23 @@ def predict(rows: DataFrame, model: Callable[[list[str]], list[str]], text: str
     return asked.mapInPandas(run, f"{fields}, answer string").withColumn("prediction", first_label(F.col("answer")))
 
 
+def tagged_words(rows: DataFrame, tagger: Callable[[str], list[str]], text: str = "text") -> DataFrame:
+    """Rows with ``words``, what a tagger (a plug-in, loaded once a worker) finds in each text; a null text has null."""
+
+    @F.pandas_udf("array<string>")
+    def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(lambda x: tagger(x) if x is not None else None)
+
+    return rows.withColumn("words", tag(F.col(text)))
+
+
+def predict_few_shot(rows: DataFrame, prompt: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
+    """Rows with shots answered by a model of the whole conversation, given as JSON, and the label in its answer."""
+    asked = rows.where(F.length("input") > LEAST_LENGTH).select("record_id", F.to_json(chat_messages(prompt, F.col("shots"), F.col("input"))).alias("messages"))
+    return predict(asked, model, "messages")
+
+
 def replace_prompt(rows: DataFrame, prompt: str) -> DataFrame:
     return rows.withColumn("instruction", F.lit(prompt))
 

@@ -28,15 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docframe/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/docframe/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release(df: DataFrame) -> None:

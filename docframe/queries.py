@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import labels, markup, numerals, text as texts
 from docframe.operators import evaluate, joins, prompts, sampling, sections, segment, stats
-from docframe.plans.lineage import materialise, shared_dir
+from docframe.plans.lineage import fresh_path, materialise
 from docframe.sources import files
 from docframe.streaming import ingest
 
@@ -1012,9 +1012,7 @@ def _(t):
 
 # --- sources, sinks, streams --------------------------------------------------------------------------------------
 def _fresh(t, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(t.spark)}/docframe/{name}-{uuid.uuid4().hex}"
+    return fresh_path(t.spark, name)
 
 
 @query("src_csv", "SELECT id, document, paragraph_id, text_type, text FROM styles_df WHERE text IS NOT NULL AND text <> ''")
@@ -1073,6 +1071,92 @@ def _(t):
     return rows.select(F.substring_index("path", "/", -1).alias("archive"), "name", F.length("bytes").alias("bytes"))
 
 
+@query("src_hf_json", "SELECT instruction AS prompt, input AS text, output AS label FROM instruction_records WHERE split = 'train'")
+def _(t):
+    path = _fresh(t, "jsonl")
+    files.write_records(t.R.where("split = 'train'").select("instruction", "input", "output"), path)
+    return files.read_records(t.spark, path, lines=True)
+
+
+@query("src_json_test", "SELECT input AS text, lower(trim(output, ' ')) AS label FROM instruction_records WHERE split = 'test'")
+def _(t):
+    path = _fresh(t, "json")
+    files.write_records(t.R.where("split = 'test'").select("instruction", "input", "output"), path)
+    return files.read_records(t.spark, path, lines=True).select("text", F.lower(F.trim("label")).alias("label"))
+
+
+@query("sink_csv", f"SELECT text_type, count(*) AS n FROM {_S} GROUP BY text_type")
+def _(t):
+    path = _fresh(t, "csv")
+    files.write_csv(t.S.select("id", "text_type"), path, sep="\t")
+    return t.spark.read.schema("id bigint, text_type string").csv(path, header=True, sep="\t").groupBy("text_type").agg(F.count("*").alias("n"))
+
+
+@query("sink_json", "SELECT record_id, input FROM instruction_records WHERE input IS NOT NULL")
+def _(t):
+    path = _fresh(t, "json")
+    files.write_records(t.R.where("input is not null").select("record_id", "input"), path)
+    return t.spark.read.schema("record_id bigint, input string").json(path)
+
+
+@query("sink_text", f"SELECT count(*) AS documents FROM (SELECT DISTINCT document FROM {_TYPED})")
+def _(t):
+    path = _fresh(t, "xml")
+    files.write_text(segment.semantic_xml(_typed(t)).withColumn("text", F.regexp_replace("text", "[\r\n]", " ")), path, "text", ["document"])
+    return files.read_texts(t.spark, path, "*.txt").agg(F.count("*").alias("documents"))
+
+
+@query("xml_to_text_files", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '</?[^( /><.)]+>', '', 'g'), '[\\r\\n]', ' ', 'g'), ' ') AS text FROM documents WHERE text IS NOT NULL AND lang = 'fr'")
+def _(t):
+    path = _fresh(t, "raw")
+    rows = t["documents"].where("text is not null and lang = 'fr'").select("doc_id", F.trim(F.regexp_replace(markup.raw_text(F.col("text")), "[\r\n]", " ")).alias("text"))
+    rows.write.partitionBy("doc_id").text(path)
+    return t.spark.read.text(path).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("value").alias("text"))
+
+
+@query("skip_existing", "SELECT DISTINCT name FROM docs WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM docs WHERE name IS NOT NULL AND id % 2 = 0)")
+def _(t):
+    names = t["docs"].where("name is not null").select("name").distinct()
+    return files.new_files(names, t["docs"].where("id % 2 = 0").select("name"))
+
+
+@query("db_create_insert", "SELECT DISTINCT fontname AS name, size, 'x' AS label FROM (SELECT 'Times-Bold' AS fontname, 12.0::DOUBLE AS size UNION ALL SELECT 'Arial', 9.5)")
+def _(t):
+    path = _fresh(t, "fonts")
+    table = "docframe_fonts_" + path[-8:]
+    files.ensure_table(t.spark, table, "name string, size double, label string", path)
+    assert not files.ensure_table(t.spark, table, "name string, size double, label string", path)
+    files.append(t.spark.createDataFrame([("Times-Bold", 12.0, "x"), ("Arial", 9.5, "x")], "name string, size double, label string"), table)
+    return t.spark.table(table)
+
+
+@query("chunk_corpus", f"""WITH p AS (SELECT p.document, p.k, coalesce(p.text, '') AS t, coalesce(u.section, 'unmatched') AS section FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY paragraph_id) - 1 AS k FROM {_P}) p
+      LEFT JOIN (SELECT a.document, a.id, min(b.section) AS section FROM {_P} a JOIN {_P} b ON a.document = b.document AND contains(b.text, a.text) AND length(a.text) > 0 GROUP BY ALL HAVING count(*) = 1) u ON u.document = p.document AND u.id = p.id),
+    w AS (SELECT DISTINCT document, k AS first FROM p WHERE k % 3 = 0),
+    c AS (SELECT w.document, w.first, p.k, p.section, first_value(p.section) OVER (PARTITION BY w.document, w.first ORDER BY p.k) AS head FROM w JOIN p ON p.document = w.document AND p.k BETWEEN w.first AND w.first + 4)
+    SELECT document, first::INTEGER AS first, coalesce(arg_max(section, k) FILTER (WHERE section <> head AND section <> 'unmatched'), 'Sin sección') AS label FROM c GROUP BY document, first""")
+def _(t):
+    paragraphs = materialise(t.P, "paragraphs")
+    found = joins.unique_containing(paragraphs.select("document", F.col("id").alias("text_id"), F.coalesce("text", F.lit("")).alias("text")), paragraphs)
+    rows = paragraphs.drop("section").join(found.select("document", F.col("text_id").alias("id"), "section"), ["document", "id"])
+    return segment.sliding_chunks(rows).select("document", "first", "label")
+
+
+@query("verbs", f"SELECT id, array_to_string(list_filter(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda w: regexp_matches(w, '(ó|aron|ieron)$')), '|') AS verbs FROM {_P}")
+def _(t):
+    import re
+
+    def tagger(text: str) -> list[str]:
+        return [w for w in re.findall(r"[^\W\d_]+", text.lower()) if re.search("(?:ó|aron|ieron)$", w)]
+
+    return prompts.tagged_words(t.P.select("id", "text"), tagger).select("id", _joined("words").alias("verbs"))
+
+
+@query("gpt_few", f"SELECT record_id, 'decisión' AS prediction FROM instruction_records WHERE length(input) > 12")
+def _(t):
+    return prompts.predict_few_shot(_shots(t), "Clasifique.", lambda xs: ["Es la decisión."] * len(xs)).select("record_id", "prediction")
+
+
 @query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(t):
     return ingest.event_windows(t["events"]).withColumn("total", F.round("total", 4))

@@ -83,11 +83,19 @@ def unzip(content: bytes) -> Iterator[dict]:
             yield {"name": name, "bytes": z.read(name)}
 
 
-def ensure_table(spark: SparkSession, name: str, schema: str) -> None:
-    """A catalog table, made if it is missing."""
-    if not spark.catalog.tableExists(name):
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
+def ensure_table(spark: SparkSession, name: str, schema: str, path: str | None = None) -> bool:
+    """A catalog table, made if it is missing, at a path if one is given; whether it was made."""
+    if spark.catalog.tableExists(name):
+        return False
+    place = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{place}")
+    return True
 
 
 def append(df: DataFrame, name: str) -> None:
-    df.write.mode("append").saveAsTable(name)
+    df.write.insertInto(name)
+
+
+def new_files(names: DataFrame, done: DataFrame) -> DataFrame:
+    """The names whose output does not exist yet."""
+    return names.join(done, names.columns[0], "left_anti")

@@ -85,7 +85,7 @@ def test_excerpts_and_body(spark):
     text = "<document>\n<paragraph>\n<bold14>TITULO</bold14>\n</paragraph>\n<paragraph>\n<regular12>uno </regular12><italic12>dos</italic12><regular8>3</regular8>\n</paragraph></document>"
     tagged = spark.createDataFrame([(1, text), (2, ""), (3, None)], "document bigint, text string")
     got = segment.excerpt_split(tagged).orderBy("paragraph_id", "run").collect()
-    assert [(r["text_type"], r["text_type_es"], r["paragraph_pos"]) for r in got] == [("title", "título", 0), ("plain", "normal", 0), ("quote", "cita", 4), ("footnote", "pie de página", 7)]
+    assert [(r["text_type"], r["text_type_es"], r["paragraph_pos"]) for r in got] == [("title_emphasis", "título_énfasis", 0), ("plain", "normal", 0), ("quote", "cita", 4), ("footnote", "pie de página", 7)]
     table = segment.paragraph_table(tagged).orderBy("paragraph_id").collect()
     assert [(r["previous"], r["next"]) for r in table] == [(-1, 1), (0, -1)]
 

@@ -341,7 +341,11 @@ def languages(documents: DataFrame, model: Model | None = None, key: str = "doc_
 
 
 def wrong_labels(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, lang) of the documents without a right label: the true language; for mixed ones, each language."""
+    """(doc_id, lang) of the documents without a right label: the true language; for mixed ones, each language.
+
+    Texts without a letter are no cases; a document that comes in several rows has each pair once; an empty table gives
+    no rows.
+    """
     judged = languages(documents, model).where("segment = 0").select("doc_id", "spoken")
     given = documents.select("doc_id", label_language(F.col("lang")).alias("given"))
     return (

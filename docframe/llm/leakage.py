@@ -181,7 +181,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """For each item that leaked: documents with it, with a verbatim passage, and the longest stretch in words."""
+    """For each item that leaked: documents with it, documents with a verbatim passage, and the best similarity."""
     return leaks(documents, items).groupBy("item_id").agg(
         F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("verbatim"), F.col("doc_id"))).alias("verbatim_documents"), F.max("similarity").alias("best_similarity")
     )

@@ -83,7 +83,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def tied_groups(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, group_id) of the ids in both tables whose group has at least two such ids; group_id is the smallest."""
+    """(doc_id, group_id) of the ids in both tables whose group has at least two such ids; group_id is the smallest.
+
+    Documents that only one table knows still tie others together; null ids have no rows; an empty table gives none.
+    """
     both = groups(docs).join(paragraphs.select("doc_id").distinct(), "doc_id", "left_semi")
     both = materialise(both, "p1_both")
     sizes = both.groupBy("component").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")

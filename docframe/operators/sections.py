@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docframe.functions.labels import PENDING, SECTIONS, categorise, closest_alias, section_name
-from docframe.functions.numerals import clean_spaces, is_upper, next_number, numeral_format, roman_by_format, words
+from docframe.functions.numerals import clean_spaces, is_upper, next_number, numeral_format, words
 from docframe.functions.text import strip
 from docframe.operators.segment import paragraph_order, section_fill
 from docframe.plans.lineage import materialise
@@ -45,11 +45,12 @@ def _candidates(rows: DataFrame) -> DataFrame:
     roman = F.col("format").startswith("rom")
     rows = rows.where((roman & (F.length("text") < 75)) | (~roman & F.col("text").rlike(r"^(?U)\s*\d")))
     rows = rows.withColumn("head", F.left(strip(F.col("text")), F.lit(15)))
-    rows = rows.withColumn("token", words(clean_spaces(F.left("head", F.lit(10))))).withColumn("numeral", roman_by_format(F.col("token")[0]))
-    first = F.when(F.col("format") == "rom-hyphen", F.try_element_at(F.col("numeral.hyphen"), F.lit(1))).when(F.col("format") == "rom-dot", F.try_element_at(F.col("numeral.dot"), F.lit(1)))
+    rows = rows.withColumn("token", words(clean_spaces(F.left("head", F.lit(10)))))
+    fits = lambda w: F.when(F.col("format") == "rom-hyphen", w.rlike("^[MDCLXVI]*-$")).otherwise(w.rlike(r"^[MDCLXVI]*\.-?$"))
+    first = F.try_element_at(F.filter(words(clean_spaces(F.col("token")[0])), fits), F.lit(1))
     is_arabic = ((F.col("format") == "ara-hyphen") & F.col("head").rlike(ARABIC_START["ara-hyphen"])) | ((F.col("format") == "ara-dot") & F.col("head").rlike(ARABIC_START["ara-dot"]))
     number = F.when(roman, F.when(F.size("token") > 1, first)).when(is_arabic, words(F.col("head"))[0])
-    return rows.withColumn("number", number).where("number is not null").select("document", "paragraph_id", roman.alias("roman"), next_number(F.col("number")).alias("n"))
+    return rows.withColumn("number", number).select("document", "paragraph_id", roman.alias("roman"), next_number(F.col("number")).alias("n"))
 
 
 def section_starts(paragraphs: DataFrame, formats: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def section_starts(paragraphs: DataFrame, formats: DataFrame) -> DataFrame:
     The scan is greedy and depends on order, so each document's few candidates are folded in an array.
     """
     rows = _candidates(paragraphs.join(formats, "document").select("document", "paragraph_id", "text", "format"))
-    listed = rows.groupBy("document").agg(F.first("roman").alias("roman"), F.array_sort(F.collect_list(F.struct("paragraph_id", "n"))).alias("xs"))
+    listed = rows.groupBy("document").agg(F.first("roman").alias("roman"), F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("paragraph_id", "n")))).alias("xs"))
     start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("ids"))
 
     def step(acc: Column, x: Column) -> Column:

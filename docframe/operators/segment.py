@@ -20,8 +20,13 @@ def paragraph_order():
 
 
 def latest(table: DataFrame, keys: list[str], when: str = "ingested_at", tie: str = "id") -> DataFrame:
-    """The row last ingested of each key; rows with a null key part are kept by that key too."""
-    return table.groupBy(*keys).agg(F.max_by(F.struct(*table.columns), F.struct(when, tie)).alias("row")).select("row.*")
+    """The row last ingested of each key; rows with a null key part are kept by that key too.
+
+    A window and not an aggregate of whole rows, so that only the columns used later are read and shuffled, and copies
+    fall away before the shuffle.
+    """
+    w = W.partitionBy(*keys).orderBy(F.desc_nulls_last(when), F.desc_nulls_last(tie))
+    return table.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
 def paragraph_table(tagged: DataFrame, drop_last: bool = False) -> DataFrame:

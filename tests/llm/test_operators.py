@@ -213,6 +213,23 @@ def test_overlaps_of_a_large_group_of_near_copies(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+def test_overlaps_found_by_a_common_shingle_alone(spark):
+    rng = random.Random(11)
+    head, tail = text(rng, 10).split(), text(rng, 5).split()
+    rows = [(k, " ".join([*head, *text(rng, 35).split(), *tail]), "val", "a", 1, 2) for k in range(40)]
+    for k, kept in enumerate((0, 5, 45)):
+        w = rows[k][1].split()
+        for at in range(0, 50, 5):
+            if at != kept:
+                w[at + 2] = f"otra{k}"
+        rows.append((100 + k, " ".join(w), "train", "a", 1, 2))
+    df = spark.createDataFrame(rows, RECORDS)
+    true = brute_overlaps(rows)
+    assert {(k, 100 + k) for k in range(3)} <= true
+    assert {(r["record_id_a"], r["record_id_b"]) for r in overlap.overlaps(df).collect()} == true
+    assert sum(r["pairs"] for r in overlap.overlap_report(df).collect()) == len(true)
+
+
 # --- p5 -----------------------------------------------------------------------------------------------------------
 OUTPUTS = "record_id bigint, output string, label string, signature string"
 TARGETS = "label string, share double, min_rows int"

@@ -487,22 +487,41 @@ _FONTS = "['Times-Bold', 'Arial-BoldItalic', 'Courier', 'Times-Italic']"
 _GLYPHS = f"(SELECT document, 1 AS page, paragraph_id AS element, k AS pos, substr(text, k, 1) AS ch, {_FONTS}[(k // 7 + paragraph_id) % 4 + 1] AS fontname, (8 + (k // 14) % 3 * 2.5)::DOUBLE AS size FROM (SELECT *, unnest(range(1, least(length(text), 60) + 1)) AS k FROM {_P} WHERE document < 20 AND length(text) > 0))"
 
 
-def _glyphs(t) -> DataFrame:
-    """Glyphs of the starts of paragraphs, in fonts that change every seven characters."""
-    rows = t.P.where("document < 20 and length(text) > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(60)))))
+def _glyphs(paragraphs: DataFrame) -> DataFrame:
+    """Glyphs of paragraphs, in fonts that change every seven characters."""
+    rows = paragraphs.where("length(text) > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.length("text"))))
     font = F.array(*(F.lit(x) for x in ("Times-Bold", "Arial-BoldItalic", "Courier", "Times-Italic")))[((F.floor(F.col("k") / 7) + F.col("paragraph_id")) % 4).cast("int")]
     return rows.select("document", F.lit(1).alias("page"), F.col("paragraph_id").alias("element"), F.lit(1).alias("line"), F.col("k").alias("pos"), F.col("text").substr(F.col("k"), F.lit(1)).alias("ch"), font.alias("fontname"), (8 + F.floor(F.col("k") / 14) % 3 * 2.5).cast("double").alias("size"))
 
 
+def _starts(t) -> DataFrame:
+    """What the SQL of glyph_runs and font_label covers; glyph_runs_all and font_label_all take all paragraphs, whole."""
+    return t.P.where("document < 20").withColumn("text", F.left("text", F.lit(60)))
+
+
 @query("glyph_runs", f"""SELECT document, page, element, run, first(fontname) AS fontname, first(size) AS size, string_agg(ch, '' ORDER BY pos) AS text FROM (
     SELECT *, sum(turn) OVER (PARTITION BY document, element ORDER BY pos)::BIGINT AS run FROM (SELECT *, CASE WHEN lag(fontname) OVER w = fontname AND lag(size) OVER w = size THEN 0 ELSE 1 END AS turn FROM {_GLYPHS} WINDOW w AS (PARTITION BY document, element ORDER BY pos))) GROUP BY document, page, element, run""")
 def _(t):
-    return segment.glyph_runs(_glyphs(t))
+    return segment.glyph_runs(_glyphs(_starts(t)))
+
+
+@query("glyph_runs_all")
+def _(t):
+    return segment.glyph_runs(_glyphs(t.P))
+
+
+def _font_labels(glyphs: DataFrame) -> DataFrame:
+    return glyphs.select("fontname", "size").distinct().withColumn("label", segment.font_label(F.col("fontname"), F.col("size")))
 
 
 @query("font_label", f"SELECT DISTINCT fontname, size, CASE WHEN contains(upper(fontname), 'BOLD') AND contains(upper(fontname), 'ITALIC') THEN 'bold_italic' WHEN contains(upper(fontname), 'BOLD') THEN 'bold' WHEN contains(upper(fontname), 'ITALIC') THEN 'italic' ELSE 'regular' END || round_even(size, 0)::INTEGER AS label FROM {_GLYPHS}")
 def _(t):
-    return _glyphs(t).select("fontname", "size").distinct().withColumn("label", segment.font_label(F.col("fontname"), F.col("size")))
+    return _font_labels(_glyphs(_starts(t)))
+
+
+@query("font_label_all")
+def _(t):
+    return _font_labels(_glyphs(t.P))
 
 
 _ELEMENTS = f"(SELECT document, (paragraph_id // 5 + 1)::INTEGER AS page, paragraph_id AS element, CASE WHEN paragraph_id % 10 = 4 THEN ' ' || (paragraph_id // 5 + 1) || ' ' ELSE text END AS text FROM {_P} WHERE text IS NOT NULL)"

@@ -1066,10 +1066,20 @@ def _(t):
 
 @query("src_text", f"SELECT document, count(*) AS paragraphs FROM {_P} WHERE text IS NOT NULL AND document < 30 GROUP BY document")
 def _(t):
+    return _text_round_trip(t, t.P.where("text is not null and document < 30"))
+
+
+@query("src_text_all", f"SELECT document, count(*) AS paragraphs FROM {_P} WHERE text IS NOT NULL GROUP BY document")
+def _(t):
+    return _text_round_trip(t, t.P.where("text is not null"))
+
+
+def _text_round_trip(t, paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs by document, counted in the tagged text that is written for it and read again."""
     path = _fresh(t, "text")
-    rows = t.P.where("text is not null and document < 30").withColumn("line", markup.wrap(F.regexp_replace("text", r"[\r\n]+", " ")))
+    rows = paragraphs.repartition("document").withColumn("line", markup.wrap(F.regexp_replace("text", r"[\r\n]+", " ")))
     files.write_text(rows, path, "line", ["document"])
-    read = files.read_texts(t.spark, path, "*.txt").withColumn("document", F.regexp_extract("path", "document=(\\d+)", 1).cast("long"))
+    read = files.read_texts(t.spark, path, "*.txt").withColumn("document", F.regexp_extract("path", "document=(-?\\d+)", 1).try_cast("long"))
     return read.select("document", F.explode(markup.paragraphs(F.col("text")))).groupBy("document").agg(F.count("*").alias("paragraphs"))
 
 

@@ -34,3 +34,10 @@ def test_glyphs_of_all_documents_and_whole_texts(spark, folder):
     assert len(found) == len(true) and set(found) == true
     labels = {(r["fontname"], r["size"]) for r in queries()["font_label_all"](spark, folder).collect()}
     assert labels == {r[3:5] for r in true}
+
+
+def test_texts_of_all_documents_come_back(spark, folder):
+    rows = [(0, 1, 0, "a"), (1, 1, 1, "b\nc\r\nd"), (2, 29, 0, ""), (3, 30, 0, "e"), (4, 70001, 0, "f"), (5, 70001, 1, None), (6, -3, 0, "g"), (7, None, 0, "h")]
+    write(spark, folder, "paragraphs_df", [(k, d, p, "header", t, 0, None) for k, d, p, t in rows], PARAGRAPHS)
+    found = {r["document"]: r["paragraphs"] for r in queries()["src_text_all"](spark, folder).collect()}
+    assert found == {1: 2, 29: 1, 30: 1, 70001: 1, -3: 1, None: 1}

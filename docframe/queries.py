@@ -1143,6 +1143,16 @@ def _(t):
     return t.spark.read.text(path).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("value").alias("text"))
 
 
+@query("xml_to_text_files_all", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '</?[^( /><.)]+>', '', 'g'), '[\\r\\n]', ' ', 'g'), ' ') AS text FROM documents WHERE text IS NOT NULL")
+def _(t):
+    # A line for each document, so that the number of files doesn't grow with that of documents.
+    path = _fresh(t, "raw")
+    rows = t["documents"].where("text is not null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.trim(F.regexp_replace(markup.raw_text(F.col("text")), "[\r\n]", " ")).alias("text"))
+    files.write_text(rows.withColumn("line", F.concat_ws("\t", "doc_id", "text")), path, "line")
+    tab = F.instr("value", "\t")
+    return t.spark.read.text(path).select(F.substring_index("value", "\t", 1).try_cast("bigint").alias("doc_id"), F.col("value").substr(tab + 1, F.length("value")).alias("text"))
+
+
 @query("skip_existing", "SELECT DISTINCT name FROM docs WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM docs WHERE name IS NOT NULL AND id % 2 = 0)")
 def _(t):
     names = t["docs"].where("name is not null").select("name").distinct()

@@ -41,3 +41,11 @@ def test_texts_of_all_documents_come_back(spark, folder):
     write(spark, folder, "paragraphs_df", [(k, d, p, "header", t, 0, None) for k, d, p, t in rows], PARAGRAPHS)
     found = {r["document"]: r["paragraphs"] for r in queries()["src_text_all"](spark, folder).collect()}
     assert found == {1: 2, 29: 1, 30: 1, 70001: 1, -3: 1, None: 1}
+
+
+def test_documents_of_all_languages_become_text(spark, folder):
+    rows = [(1, "<p>Un texte</p>\n<b>gras</b>", "fr"), (2, "<p>Un texto</p>\r\n\tmás ", "es"), (3, "sin etiqueta", None), (4, "", "de"), (5, None, "fr"), (6, "bon", "French"), (6, "bon", "French"), (None, "x\ty", "en")]
+    write(spark, folder, "documents", rows, "doc_id bigint, text string, lang string")
+    found = [(r["doc_id"], r["text"]) for r in queries()["xml_to_text_files_all"](spark, folder).collect()]
+    true = [(1, "Un texte gras"), (2, "Un texto  \tmás"), (3, "sin etiqueta"), (4, ""), (6, "bon"), (6, "bon"), (None, "x\ty")]
+    assert sorted(found, key=str) == sorted(true, key=str)

@@ -262,8 +262,17 @@ _ALIASES = "(VALUES " + ", ".join(f"({k}, {_q(s)}, {_q(a)})" for k, (s, a) in en
 @query("closest_alias", f"""SELECT id, arg_min(section, d * 1000 + ord) AS section, arg_min(alias, d * 1000 + ord) AS alias, min(d)::INTEGER AS distance FROM (
     SELECT p.id, a.*, levenshtein(regexp_replace(strip_accents(lower(p.text)), '[^\\x00-\\x7F]', '?', 'g'), a.alias) AS d FROM {_P} p, {_ALIASES} WHERE length(p.text) < 75) GROUP BY id""")
 def _(t):
+    return _closest(t.P.where(F.length("text") < 75))
+
+
+@query("closest_alias_all")
+def _(t):
+    return _closest(t.P.where("text is not null"))
+
+
+def _closest(paragraphs: DataFrame) -> DataFrame:
     c = labels.closest_alias(F.regexp_replace(texts.unaccent(F.lower("text")), r"[^\x00-\x7F]", "?"), labels.SECTIONS)
-    return t.P.where(F.length("text") < 75).select("id", c["section"].alias("section"), c["alias"].alias("alias"), c["distance"].alias("distance"))
+    return paragraphs.select("id", c["section"].alias("section"), c["alias"].alias("alias"), c["distance"].alias("distance"))
 
 
 _LABEL_VALUES = "[" + ", ".join(_q(x) for x in labels.LABELS) + "]"

@@ -4,6 +4,7 @@ from itertools import groupby
 
 import pytest
 
+from docframe.functions import labels
 from docframe.queries import queries
 
 PARAGRAPHS = "id bigint, document bigint, paragraph_id int, section string, text string, length int, ingested_at timestamp"
@@ -49,3 +50,24 @@ def test_documents_of_all_languages_become_text(spark, folder):
     found = [(r["doc_id"], r["text"]) for r in queries()["xml_to_text_files_all"](spark, folder).collect()]
     true = [(1, "Un texte gras"), (2, "Un texto  \tmás"), (3, "sin etiqueta"), (4, ""), (6, "bon"), (6, "bon"), (None, "x\ty")]
     assert sorted(found, key=str) == sorted(true, key=str)
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_closest_alias_of_long_paragraphs(spark, folder):
+    rows = [(0, "antecedentes"), (1, "x" * 74), (2, "resuelve " * 9), (3, "consideraciones de la corte y otras cosas que no caben en un titulo " * 3), (4, None), (5, "")]
+    write(spark, folder, "paragraphs_df", [(k, 1, k, "header", t, 0, None) for k, t in rows], PARAGRAPHS)
+    pairs = [(s, a) for s, aliases in labels.SECTIONS.items() for a in aliases]
+    true = set()
+    for k, t in rows:
+        if t is not None:
+            d, at = min((levenshtein(t, a), at) for at, (_, a) in enumerate(pairs))
+            true.add((k, *pairs[at], d))
+    assert {(r["id"], r["section"], r["alias"], r["distance"]) for r in queries()["closest_alias_all"](spark, folder).collect()} == true

@@ -79,7 +79,8 @@ def align(excerpts: DataFrame, tagged: DataFrame) -> DataFrame:
         for i, t in left.sort_values(["paragraph_id", "paragraph_pos", "id"])[["id", "text"]].itertuples(index=False):
             at = text.find(t, cursor) if t else -1
             if at < 0 and t:
-                words, k, tried = t.split(), 10, set()
+                words, tried = t.split(), set()
+                k = min(10, len(words))
                 while 0 < k <= len(words) and k not in tried:
                     tried.add(k)
                     part = " ".join(words[:k])

@@ -121,6 +121,12 @@ def test_align_moves_on(spark):
     assert [r["start"] for r in joins.align(e, t).orderBy("id").collect()] == [0, 4, 8, -1]
 
 
+def test_align_shrinks_short_excerpts(spark):
+    e = spark.createDataFrame([(1, 0, 0, 0, "uno dos tres cuatro"), (1, 1, 1, 0, "cinco"), (1, 2, 2, 0, "a " * 9 + "b"), (1, 3, 3, 0, "nada de eso"), (1, 4, 4, 0, " ")], "document bigint, id bigint, paragraph_id int, paragraph_pos int, text string")
+    t = spark.createDataFrame([(1, "x uno dos tres cinco " + "a " * 9 + "c")], "document bigint, text string")
+    assert [r["start"] for r in joins.align(e, t).orderBy("id").collect()] == [2, 15, 21, -1, 22]
+
+
 def test_unique_containing(spark):
     p = paragraphs(spark, ["la casa grande", "la casa", "otra"], section="S")
     texts = spark.createDataFrame([(1, 1, "grande"), (1, 2, "casa"), (1, 3, "nada"), (1, 4, "")], "document bigint, text_id bigint, text string")

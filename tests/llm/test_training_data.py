@@ -230,6 +230,33 @@ def test_overlaps_found_by_a_common_shingle_alone(spark):
     assert sum(r["pairs"] for r in overlap.overlap_report(df).collect()) == len(true)
 
 
+@pytest.mark.parametrize("edit", ["every fifth replaced", "every fifth left out", "one in four added"])
+def test_overlaps_with_evenly_spread_edits(spark, edit):
+    rng = random.Random(6)
+    rows, k = [], 0
+    for n in [20, 22, 25, 29, 31, 40, 50, 64, 100, 200, 333, 1000]:
+        for shift in range(4):
+            w = text(rng, n).split()
+            if edit == "every fifth replaced":
+                v = [f"otra{k}" if i % 5 == shift else x for i, x in enumerate(w)]
+            elif edit == "every fifth left out":
+                v = [x for i, x in enumerate(w) if i % 5 != shift or i >= 5 * (n // 5)]
+            else:
+                v = [y for i, x in enumerate(w) for y in ([f"mas{i}", x] if i % 4 == shift and i // 4 < n // 4 else [x])]
+            rows += [(k, " ".join(w), "val", "a", 1, 2), (k + 1, " ".join(v), "train", "a", 1, 2)]
+            k += 2
+    true = {(i, i + 1) for i in range(0, k, 2) if overlap.common_words(words_of(rows[i][1]), words_of(rows[i + 1][1])) >= overlap.need(max(len(rows[i][1].split()), len(rows[i + 1][1].split())))}
+    assert len(true) > k // 3
+    assert {(r[0], r[1]) for r in overlap.overlaps(spark.createDataFrame(rows, RECORDS)).collect()} == true
+
+
+def test_overlaps_of_texts_that_repeat_themselves(spark):
+    rng = random.Random(8)
+    base = ["no " * 3000, "la ley dice " * 500, text(rng, 30) + " eco" * 900]
+    rows = [(k, base[k % 3] + " " + text(rng, k % 5), "train" if k < 6 else "val", "a", 1, 2) for k in range(12)]
+    assert {(r[0], r[1]) for r in overlap.overlaps(spark.createDataFrame(rows, RECORDS)).collect()} == brute_overlaps(rows)
+
+
 # --- p5 -----------------------------------------------------------------------------------------------------------
 OUTPUTS = "record_id bigint, output string, label string, signature string"
 TARGETS = "label string, share double, min_rows int"

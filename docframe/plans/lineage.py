@@ -8,6 +8,7 @@ size.  The folder is read from the session; only where it is unset (tests, a lap
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; set for this session only where the cluster names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="docframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -53,6 +56,12 @@ def release(df: DataFrame) -> None:
             _written.remove(item)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have ended: its cleaner does so once their driver objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

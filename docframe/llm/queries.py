@@ -82,6 +82,10 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
 
 
+def p7_near_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.near_passages(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return langid.wrong_labels(_read(spark, folder, "documents"))
 

@@ -366,6 +366,42 @@ def test_hamming_blocks_miss_nothing():
     assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
 
 
+def bag_similarity(index, a, b):
+    x, y = ({m: c for m, c in zip(*np.unique(leakage.shingles(leakage.word_hashes([t])[0], 5), return_counts=True))} for t in (a, b))
+    weight = {m: index.weights(np.array([m], np.uint64))[0] for m in x | y}
+    total = lambda f: sum(weight[m] * f(x.get(m, 0), y.get(m, 0)) for m in weight)
+    return total(min) / total(max)
+
+
+@pytest.mark.parametrize("edit", ["edge word", "inner word", "one in sixty", "sentence moved", "words left out"])
+def test_near_items_are_found(edit):
+    """At least nine in ten of the texts whose similarity to an item is 0.8 or more, and none below."""
+    rng = random.Random(4)
+    items = [text(rng, rng.choice([20, 24, 50, 60, 75, 120, 180, 240])) for _ in range(160)]
+    index = leakage.ItemIndex(list(range(len(items))), items)
+    true = found = 0
+    for k, item in enumerate(items):
+        w = item.split()
+        if edit == "edge word":
+            w[-1] = "otra"
+        elif edit == "inner word":
+            w[rng.randrange(len(w))] = "otra"
+        elif edit == "one in sixty":
+            for at in range(30, len(w), 60):
+                w[at] = "otra"
+        elif edit == "sentence moved":
+            w = w[12:18] + w[:12] + w[18:]
+        else:
+            w = w[: len(w) // 2] + w[len(w) // 2 + 2 :] + ["y", "o"]
+        near = " ".join(w)
+        rows = index.whole(leakage.Windows([text(rng, 30) + " " + near + " " + text(rng, 30)]))
+        assert all(v >= 0.8 for *_, v in rows)
+        if bag_similarity(index, item, near) >= 0.8:
+            true += 1
+            found += any(i == k for _, i, _, _ in rows)
+    assert true > 30 and found >= 0.9 * true
+
+
 # --- p8 -----------------------------------------------------------------------------------------------------------
 SAMPLES = {
     "es": "La sentencia fue notificada al demandante por el juzgado de la ciudad. El recurso no prospera porque la norma exige otra cosa. Los hechos de este proceso son claros y la prueba es suficiente para decidir.",

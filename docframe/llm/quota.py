@@ -1,9 +1,10 @@
 """A sample whose categories match target proportions.
 
 Rows are grouped by category signature; only the counts of signatures, whose number the targets bound, come to the
-driver.  A random sample that satisfies the floors is repaired by exchanging counts between signatures as long as that
-lowers the deviation from the targets.  The counts are then materialised by the rows' hashes: a histogram of the
-hashes finds the bucket in which each signature's last row lies, and only rows of those buckets are ranked.
+driver.  The counts of a random sample, drawn by hash and brought to the floors and the size, are repaired by
+exchanging counts between signatures as long as that lowers the deviation from the targets.  They are then materialised
+by the rows' hashes: histograms of the hashes find the bucket in which each signature's last row lies, and only rows
+of those buckets are ranked.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from docframe.functions.text import fold
 from docframe.plans.lineage import materialise
 
 PART = 0.1
-BUCKETS = 4096
+BUCKET_BITS, LEVELS = 12, 2
 MOST_LABELS = 100_000
 
 
@@ -26,29 +27,33 @@ def category(value: Column) -> Column:
     return F.regexp_replace(fold(F.regexp_replace(fold(value), r"\.$", "")), r"^$", "")
 
 
-def plan(available: dict[str | None, int], targets: dict[str, tuple[float, int]], size: int, seed: int = 0) -> dict[str | None, int]:
-    """How many rows of each signature to take, ``size`` in all (or as many as there are)."""
+def plan(available: dict[str | None, int], targets: dict[str, tuple[float, int]], size: int, start: dict[str | None, int] | None = None) -> dict[str | None, int]:
+    """How many rows of each signature to take, ``size`` in all (or as many as there are).
+
+    ``start`` has the counts of a random sample, by default the expected ones.  Floors that together exceed the size are
+    cut in proportion, so the sample never grows beyond it.
+    """
     names = sorted(available, key=lambda s: (s is None, s or ""))
+    if not names:
+        return {}
     have = np.array([available[s] for s in names], np.int64)
-    floor = np.array([min(available[s], targets[s][1]) if s in targets else 0 for s in names], np.int64)
-    goal = np.array([targets[s][0] * size if s in targets else 0.0 for s in names])
     size = int(min(size, have.sum()))
-    take = floor.copy()
-    if take.sum() < size:
-        rest, free = size - int(take.sum()), have - take
-        # Of more rows than the generator takes, a random share is close to its expectation.
-        if free.sum() < 10**9:
-            take += np.random.default_rng(seed).multivariate_hypergeometric(free, rest)
-        else:
-            take += np.floor(free * (rest / free.sum())).astype(np.int64)
-            for k in np.argsort(take - have):
-                more = min(size - int(take.sum()), int(have[k] - take[k]))
-                take[k] += max(0, more)
+    floor = _within(np.array([min(available[s], targets[s][1]) if s in targets else 0 for s in names], np.int64), size)
+    goal = np.array([targets[s][0] * size if s in targets else 0.0 for s in names])
+    first = np.floor(have * (size / max(1, have.sum()))).astype(np.int64) if start is None else np.array([start.get(s, 0) for s in names], np.int64)
+    take = np.clip(first, floor, have)
+    # A random sample is a few rows off the size: rows go where most are over, and come where most lack.
+    while (off := int(take.sum()) - size) != 0:
+        room = take - floor if off > 0 else have - take
+        k = int(np.where(room > 0, (take - goal) * np.sign(off), -np.inf).argmax())
+        rest = np.delete((take - goal) * np.sign(off), k)[np.delete(room, k) > 0]
+        step = int(max(1, (take[k] - goal[k]) * np.sign(off) - rest.max())) if len(rest) else abs(off)
+        take[k] -= np.sign(off) * min(step, room[k], abs(off))
     while True:
         over, under = take - goal, goal - take
         give = np.where((take > floor) & (over > 0), over, -np.inf)
         get = np.where((take < have) & (under > 0), under, -np.inf)
-        if not len(names) or give.max() == -np.inf or get.max() == -np.inf:
+        if give.max() == -np.inf or get.max() == -np.inf:
             break
         s, t = int(give.argmax()), int(get.argmax())
         k = int(min(max(1, np.floor(min(over[s], under[t]))), take[s] - floor[s], have[t] - take[t]))
@@ -60,26 +65,48 @@ def plan(available: dict[str | None, int], targets: dict[str, tuple[float, int]]
     return dict(zip(names, take.tolist()))
 
 
-def _rows(records: DataFrame, targets: DataFrame, key: str, column: str) -> tuple[DataFrame, dict, dict, int]:
-    wanted = {r["name"]: (r["label"], float(r["share"] or 0), int(r["min_rows"] or 0)) for r in targets.where("label is not null").select(category(F.col("label")).alias("name"), "label", "share", "min_rows").limit(MOST_LABELS).collect()}
-    name = category(F.col(column))
-    rows = records.select(F.col(key).alias("id"), F.when(name.isin(list(wanted)), name).alias("signature"))
-    counts = {r["signature"]: r["count"] for r in rows.groupBy("signature").count().collect()}
-    return rows, wanted, counts, sum(counts.values())
+def _within(floor: np.ndarray, size: int) -> np.ndarray:
+    """Floors cut in proportion where they exceed the size together, by largest remainders."""
+    if floor.sum() <= size:
+        return floor
+    exact = floor * (size / floor.sum())
+    out = np.floor(exact).astype(np.int64)
+    out[np.argsort(out - exact, kind="stable")[: size - int(out.sum())]] += 1
+    return out
+
+
+def _rows(records: DataFrame, targets: DataFrame, key: str, column: str, part: float, seed: int) -> tuple[DataFrame, dict, dict, dict, int]:
+    """Rows (id, signature, h), the targets by signature, and the counts of all rows and of a random sample by signature."""
+    listed = targets.where("label is not null").select(category(F.col("label")).alias("name"), "label", "share", "min_rows").limit(MOST_LABELS + 1).collect()
+    if len(listed) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} target labels")
+    wanted = {r["name"]: (r["label"], float(r["share"] or 0), int(r["min_rows"] or 0)) for r in listed}
+    # At most MOST_LABELS short strings, checked above.
+    known = F.broadcast(targets.where("label is not null").select(category(F.col("label")).alias("signature")).distinct())
+    rows = records.select(F.col(key).alias("id"), category(F.col(column)).alias("name"), F.xxhash64(key, F.lit(seed)).alias("h"))
+    rows = rows.join(known, F.col("name") == F.col("signature"), "left").select("id", "signature", "h")
+    drawn = F.xxhash64("h", F.lit("draw")).cast("double") < (2 * part - 1) * 2.0**63
+    counts = rows.groupBy("signature").agg(F.count("*").alias("n"), F.count(F.when(drawn, 1)).alias("drawn")).collect()
+    return rows, wanted, {r["signature"]: r["n"] for r in counts}, {r["signature"]: r["drawn"] for r in counts}, sum(r["n"] for r in counts)
 
 
 def coverage(records: DataFrame, targets: DataFrame, key: str = "record_id", column: str = "output", part: float = PART) -> DataFrame:
     """(label, share, min_rows, wanted, available, taken, met) of each target label, as written there.
 
-    met tells whether there are at least share times the sample's size and min_rows rows.  Null and unknown outputs
-    count for the size only; of an empty table only labels without min_rows are met; targets with null labels are left
-    out.
+    met tells whether the repaired sample has min_rows of the label and all rows that its share asks for; a share that
+    is no whole number of rows may be rounded down, unless there are no more rows.  Null and unknown outputs count for
+    the size only; of an empty table only labels without min_rows are met; targets with null labels are left out.
     """
     spark = records.sparkSession
-    _, wanted, counts, total = _rows(records, targets, key, column)
+    _, wanted, counts, drawn, total = _rows(records, targets, key, column, part, 0)
     size = int(total * part)
-    take = plan(counts, {n: (s, m) for n, (_, s, m) in wanted.items()}, size)
-    table = [(label, s, m, s * size, counts.get(n, 0), take.get(n, 0), counts.get(n, 0) >= s * size and counts.get(n, 0) >= m) for n, (label, s, m) in wanted.items()]
+    take = plan(counts, {n: (s, m) for n, (_, s, m) in wanted.items()}, size, drawn)
+
+    def met(name: str, share: float, floor: int) -> bool:
+        taken, there = take.get(name, 0), counts.get(name, 0)
+        return taken >= floor and (taken >= share * size or (taken > share * size - 1 and there >= share * size))
+
+    table = [(label, s, m, s * size, counts.get(n, 0), take.get(n, 0), met(n, s, m)) for n, (label, s, m) in wanted.items()]
     return spark.createDataFrame(table, "label string, share double, min_rows int, wanted double, available bigint, taken bigint, met boolean")
 
 
@@ -90,21 +117,23 @@ def sample(records: DataFrame, targets: DataFrame, key: str = "record_id", colum
     rows with equal ids are told apart only by chance order; an empty table gives no rows.
     """
     spark = records.sparkSession
-    rows, wanted, counts, total = _rows(records, targets, key, column)
-    take = plan(counts, {n: (s, m) for n, (_, s, m) in wanted.items()}, int(total * part), seed)
-    h = F.xxhash64("id", F.lit(seed))
-    rows = rows.select("id", "signature", h.alias("h"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    histogram: dict = {}
-    for r in rows.groupBy("signature", "bucket").count().toLocalIterator():
-        histogram.setdefault(r["signature"], np.zeros(BUCKETS, np.int64))[r["bucket"]] = r["count"]
-    edges = []
-    for name, hist in histogram.items():
-        upto = np.cumsum(hist)
-        last = int(np.searchsorted(upto, take[name]))
-        edges.append((name, last, int(take[name] - (upto[last - 1] if last else 0))))
-    edge = spark.createDataFrame(edges, "name string, last int, rest bigint")
-    near = rows.join(F.broadcast(edge), rows["signature"].eqNullSafe(edge["name"])).where("bucket <= last")
-    full = near.where("bucket < last").select("id", "signature")
+    rows, wanted, counts, drawn, total = _rows(records, targets, key, column, part, seed)
+    take = plan(counts, {n: (s, m) for n, (_, s, m) in wanted.items()}, int(total * part), drawn)
+    edge = spark.createDataFrame([(n, int(k)) for n, k in take.items()], "name string, rest bigint")
+    out = None
+    # Twice the bucket of the hash is found in which a signature's last row lies; only that bucket's rows are ranked.
+    for level in range(LEVELS):
+        rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20 + level * BUCKET_BITS), F.lit(1 << BUCKET_BITS)).cast("int"))
+        sizes = rows.groupBy("signature", "bucket").agg(F.count("*").alias("k"))
+        upto = F.sum("k").over(W.partitionBy("signature").orderBy("bucket"))
+        sizes = sizes.withColumn("before", upto - F.col("k")).join(F.broadcast(edge), F.col("signature").eqNullSafe(F.col("name")))
+        last = sizes.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("k") >= F.col("rest")))
+        # A row for each target label at most.
+        last = materialise(last.select("name", F.col("bucket").alias("last"), (F.col("rest") - F.col("before")).alias("rest")), "p5_edge")
+        near = rows.join(F.broadcast(last), F.col("signature").eqNullSafe(F.col("name"))).where("bucket <= last")
+        full = near.where("bucket < last").select("id", "signature")
+        out = full if out is None else out.unionByName(full)
+        rows, edge = near.where("bucket = last").select("id", "signature", "h"), last.select("name", "rest")
     rank = F.row_number().over(W.partitionBy("signature").orderBy("h", "id"))
-    cut = near.where("bucket = last").withColumn("rank", rank).where("rank <= rest").select("id", "signature")
-    return full.unionByName(cut)
+    cut = rows.withColumn("rank", rank).join(F.broadcast(edge), F.col("signature").eqNullSafe(F.col("name"))).where("rank <= rest").select("id", "signature")
+    return out.unionByName(cut)

@@ -285,6 +285,19 @@ def test_plan_keeps_floors_and_size():
     assert sum(quota.plan({"a": 4}, {"a": (1.0, 3)}, 10).values()) == 4
 
 
+def test_plan_of_targets_that_cannot_be_met(spark):
+    take = quota.plan({"a": 100, "b": 100}, {"a": (0.5, 30), "b": (0.5, 30)}, 20)
+    assert sum(take.values()) == 20 and abs(take["a"] - take["b"]) <= 1
+    many = 4 * 10**9
+    take = quota.plan({"a": many, "b": many, None: many}, {"a": (0.3, 0), "b": (0.7, 0)}, 10**9, {"a": 333_000_000, "b": 334_000_000, None: 332_000_000})
+    assert take == {"a": 300_000_000, "b": 700_000_000, None: 0}
+    df = spark.createDataFrame([(k, "abc"[k % 3], "x", "y") for k in range(360)], OUTPUTS)
+    targets = spark.createDataFrame([("a", 0.9, 0), ("b", 0.05, 0), ("c", 0.05, 20)], TARGETS)
+    got = {r["label"]: r for r in quota.coverage(df, targets).collect()}
+    assert sum(r["taken"] for r in got.values()) == 36 and got["c"]["taken"] == 20
+    assert not got["a"]["met"] and got["c"]["met"] and got["a"]["available"] > got["a"]["wanted"] > got["a"]["taken"]
+
+
 # --- p6 -----------------------------------------------------------------------------------------------------------
 def test_packing_fits_and_wastes_little():
     rng = np.random.default_rng(2)

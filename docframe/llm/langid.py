@@ -40,10 +40,11 @@ NO_BUCKET = 1 << BUCKET_BITS
 SAMPLE, SAMPLE_CHARS = 300, 12_000
 #: Fewest lines of the sample with an n-gram: rarer ones are mostly parts of names.
 LEAST_LINES = 10
-#: Fewest letters and sentences of a line that can make a document mixed; fewest letters to be judged at all.
-LINE_LETTERS, LINE_SENTENCES, JUDGED_LETTERS = 80, 2, 25
-#: Least confidence of a line in another language than its document.
-SURE = 0.9
+#: Fewest sentences of a line that can make a document mixed; fewest letters for a line to weigh in its document's language.
+LINE_SENTENCES, JUDGED_LETTERS = 2, 25
+SENTENCE_WORDS = 3
+#: Least confidence of a line in another language than its document, from FULL letters on; shorter ones need more, as ``least_confidence`` has it.
+SURE, FULL = 0.9, 80
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # Months before which a full stop is that of a German date.
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
@@ -122,7 +123,8 @@ class Lines:
         return out
 
     def sentences(self, i: int) -> int:
-        return len(_SENTENCE.findall(self.text[self.first[i] : self.end[i]]))
+        """Sentences of a line; what ends with a full stop after fewer than SENTENCE_WORDS words is an abbreviation or a name."""
+        return sum(len(x.split()) >= SENTENCE_WORDS for x in _SENTENCE.findall(self.text[self.first[i] : self.end[i]]))
 
 
 class Model:
@@ -256,7 +258,8 @@ def sample(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """At most about ``each`` documents of every labelled language, by the hash of their id."""
     rows = documents.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text"), label_language(F.col(lang)).alias("label"))
     rows = rows.where(F.col("label").isNotNull() & F.length("text").between(JUDGED_LETTERS, SAMPLE_CHARS))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    # Counted without the texts: texts that are too short or too long only make the sample smaller.
+    counts = {r["label"]: r["count"] for r in documents.groupBy(label_language(F.col(lang)).alias("label")).count().where("label is not null").collect()}
     part = F.lit(0.0)
     for label, n in counts.items():
         part = F.when(F.col("label") == label, float(each) / n).otherwise(part)
@@ -264,6 +267,11 @@ def sample(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     return kept.select("h", "text", "label").toPandas().sort_values(["h", "text"])
 
 
+def least_confidence(letters: np.ndarray) -> np.ndarray:
+    """The confidence that makes a line count as in another language: what may be wrong shrinks with the square of its letters."""
+    return 1 - (1 - SURE) * np.minimum(1, letters / FULL) ** 2
+
+
 def _judge_batch(model: Model, ids: list, texts: list[str]) -> list[tuple]:
     lines = Lines(texts)
     total, count = model.sums(lines)
@@ -280,14 +288,14 @@ def _judge_batch(model: Model, ids: list, texts: list[str]) -> list[tuple]:
         if not doc_count[d]:
             continue
         main = int(whole[d].argmax()) if whole[d].any() else int(doc_p[d].argmax())
-        firm = (lines.letters[a:b] >= JUDGED_LETTERS) & (sure[a:b] >= SURE)
-        foreign = a + np.nonzero(firm & (best[a:b] != main) & (lines.letters[a:b] >= LINE_LETTERS))[0]
+        firm = (lines.letters[a:b] > 0) & (sure[a:b] >= least_confidence(lines.letters[a:b]))
+        foreign = a + np.nonzero(firm & (best[a:b] != main))[0]
         foreign = [i for i in foreign if lines.sentences(i) >= LINE_SENTENCES]
         if not foreign and (firm & (best[a:b] != main)).any():
             # The lines of several sentences may be the longer part, and the rest of the document in another language.
             rest = [i for i in a + np.nonzero(firm)[0] if best[i] != main or lines.sentences(i) < LINE_SENTENCES]
             shares = np.bincount(best[rest], lines.letters[rest], len(LANGS))
-            if len(rest) < firm.sum() and shares.argmax() != main and shares.max() >= LINE_LETTERS:
+            if len(rest) < firm.sum() and shares.argmax() != main and shares.max() >= JUDGED_LETTERS:
                 foreign = [i for i in a + np.nonzero(firm)[0] if best[i] == main and lines.sentences(i) >= LINE_SENTENCES]
                 main = int(shares.argmax())
         if not foreign:
@@ -307,14 +315,14 @@ def _judge_batch(model: Model, ids: list, texts: list[str]) -> list[tuple]:
 
 
 def _scan(shared) -> Callable:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.list_(pa.string()))
-    names = ["doc_id", "segment", "first_line", "end_line", "lang", "confidence", "doc_lang", "doc_confidence", "spoken"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.string())
+    names = ["doc_id", "segment", "first_line", "end_line", "lang", "confidence", "doc_lang", "doc_confidence", "spoken", "given"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            ids, texts = list(zip(batch["doc_id"].to_pylist(), batch["given"].to_pylist())), batch["text"].to_pylist()
             for s in chunks(texts, 400_000):
-                rows = _judge_batch(shared.value, ids[s], texts[s])
+                rows = [(doc, *rest, given) for (doc, given), *rest in _judge_batch(shared.value, ids[s], texts[s])]
                 columns = list(zip(*rows)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -324,8 +332,9 @@ def _scan(shared) -> Callable:
 def languages(documents: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """A row for each stretch of lines in one language.
 
-    (doc_id, segment, first_line, end_line, lang, confidence, doc_lang, doc_confidence, spoken): spoken, on a
-    document's first row, lists its main language and those of whole lines with two or more sentences in another.
+    (doc_id, segment, first_line, end_line, lang, confidence, doc_lang, doc_confidence, spoken, given): spoken, on a
+    document's first row, lists its main language and those of whole lines with two or more sentences in another;
+    given is the language that the label names.
     Null texts and texts without a letter have no rows; repeated rows come once each; an empty table, or one without
     any label, gives an untrained model, whose confidences are all a sixth.
     """
@@ -333,10 +342,10 @@ def languages(documents: DataFrame, model: Model | None = None, key: str = "doc_
     if model is None:
         rows = sample(documents, key, text, lang)
         model = fit(rows["text"].tolist(), rows["label"].tolist())
-    texts = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") > 0))
+    texts = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), label_language(F.col(lang)).alias("given")).where(F.col("text").isNotNull() & (F.length("text") > 0))
     return texts.mapInArrow(
         _scan(spark.sparkContext.broadcast(model)),
-        "doc_id bigint, segment int, first_line int, end_line int, lang string, confidence double, doc_lang string, doc_confidence double, spoken array<string>",
+        "doc_id bigint, segment int, first_line int, end_line int, lang string, confidence double, doc_lang string, doc_confidence double, spoken array<string>, given string",
     )
 
 
@@ -346,11 +355,6 @@ def wrong_labels(documents: DataFrame, model: Model | None = None) -> DataFrame:
     Texts without a letter are no cases; a document that comes in several rows has each pair once; an empty table gives
     no rows.
     """
-    judged = languages(documents, model).where("segment = 0").select("doc_id", "spoken")
-    given = documents.select("doc_id", label_language(F.col("lang")).alias("given"))
-    return (
-        judged.join(given, "doc_id")
-        .where((F.size("spoken") > 1) | F.col("given").isNull() | (F.col("given") != F.col("spoken")[0]))
-        .select("doc_id", F.explode("spoken").alias("lang"))
-        .distinct()
-    )
+    judged = languages(documents, model).where("segment = 0")
+    wrong = (F.size("spoken") > 1) | F.col("given").isNull() | (F.col("given") != F.col("spoken")[0])
+    return judged.where(wrong).select("doc_id", F.explode("spoken").alias("lang")).distinct()

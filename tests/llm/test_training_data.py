@@ -457,6 +457,14 @@ def test_languages_of_documents(spark, model):
     assert all(0 <= r["confidence"] <= 1 for r in segments)
 
 
+def test_short_lines_in_another_language(spark, model):
+    short = "The court of the city decided it. The claimant was not there."
+    rows = [(1, SAMPLES["es"] + "\n" + short + "\n" + SAMPLES["es"]), (2, SAMPLES["es"] + "\nCf. The Register.\n" + SAMPLES["es"]), (3, SAMPLES["es"] + "\n" + SAMPLES["es"])]
+    assert 25 < sum(c.isalpha() for c in short) < 80
+    df = spark.createDataFrame([(*r, "es") for r in rows], "doc_id bigint, text string, lang string")
+    assert sorted((r["doc_id"], r["lang"]) for r in langid.wrong_labels(df, model).collect()) == [(1, "en"), (1, "es")]
+
+
 def test_no_labels_and_no_rows(spark):
     df = spark.createDataFrame([(1, "un texto sin etiqueta", None)], "doc_id bigint, text string, lang string")
     assert langid.languages(df).count() == 1

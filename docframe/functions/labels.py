@@ -53,10 +53,21 @@ def section_name(text: Column, case: bool = False) -> Column:
     return categorise(text, SECTIONS, case)
 
 
-def closest_alias(text: Column, dictionary: dict[str, list[str]]) -> Column:
-    """Struct (distance, ord, section, alias) of the alias nearest by edit distance; the first of equals."""
+def closest_alias(text: Column, dictionary: dict[str, list[str]], most: int | None = None) -> Column:
+    """Struct (distance, ord, section, alias) of the alias nearest by edit distance; the first of equals.
+
+    With ``most`` it is null if none is that near; texts longer than every alias by more are not compared at all.
+    """
     pairs = [(s, a) for s, aliases in dictionary.items() for a in aliases]
-    return F.array_min(F.array(*(F.struct(F.levenshtein(text, F.lit(a)).alias("distance"), F.lit(k).alias("ord"), F.lit(s).alias("section"), F.lit(a).alias("alias")) for k, (s, a) in enumerate(pairs))))
+    if most is not None:
+        text = F.when(F.length(text) <= max(len(a) for _, a in pairs) + most, text)
+
+    def one(k: int, section: str, alias: str) -> Column:
+        distance = F.levenshtein(text, F.lit(alias), most) if most is not None else F.levenshtein(text, F.lit(alias))
+        out = F.struct(distance.alias("distance"), F.lit(k).alias("ord"), F.lit(section).alias("section"), F.lit(alias).alias("alias"))
+        return F.when(distance >= 0, out) if most is not None else out
+
+    return F.array_min(F.array(*(one(k, s, a) for k, (s, a) in enumerate(pairs))))
 
 
 def first_label(text: Column, labels: list[str] = LABELS) -> Column:

@@ -31,10 +31,14 @@ def ids_by_name(names: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def by_prefix(cases: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, id): the first case whose name begins with each name, taken literally; long prefixes join by their first letters."""
-    head = lambda c: F.left(F.upper(c), F.lit(3))
-    a, b = names.select("name", head(F.col("name")).alias("h")), cases.select(F.col("id"), F.col("name").alias("case_name"), head(F.col("name")).alias("h"))
-    return a.join(b, "h").where(F.col("case_name").startswith(F.col("name"))).groupBy("name").agg(F.min("id").alias("id"))
+    """(name, id): the first case whose name begins with each name, taken literally, however short.
+
+    Each case name is entered under all its beginnings, the first id of each kept before the shuffle; an empty name
+    begins every case name.  Names that begin none, and nulls, have no rows.
+    """
+    every = F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda k: F.left(F.col("name"), k)))
+    first = cases.where("name is not null").select("id", every.alias("name")).groupBy("name").agg(F.min("id").alias("id"))
+    return names.where("name is not null").select("name").distinct().join(first, "name").select("name", "id")
 
 
 def upsert_documents(known: DataFrame, names: DataFrame) -> DataFrame:

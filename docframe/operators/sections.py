@@ -73,7 +73,7 @@ def name_starts(paragraphs: DataFrame, starts: DataFrame) -> DataFrame:
     """(document, paragraph_id, section): starts named by the dictionary, or by the nearest alias below FUZZY edits."""
     rows = paragraphs.join(starts, ["document", "paragraph_id"], "left_semi").select("document", "paragraph_id", "text")
     rows = rows.withColumn("known", section_name(F.left("text", F.lit(50))))
-    rows = rows.withColumn("near", closest_alias(F.when(F.col("known") == PENDING, F.col("text")), SECTIONS))
+    rows = rows.withColumn("near", closest_alias(F.when(F.col("known") == PENDING, F.col("text")), SECTIONS, FUZZY - 1))
     name = F.when(F.col("known") != PENDING, F.col("known")).when(F.col("near.distance") < FUZZY, F.col("near.section")).otherwise(F.lit(PENDING))
     return rows.select("document", "paragraph_id", name.alias("section"))
 
@@ -114,7 +114,7 @@ def signatures(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
     real = styles.where(closing & (F.coalesce(~F.col("text_type").isin("quote", "footnote"), F.lit(True)))).select("document", "paragraph_id").distinct().withColumn("real", F.lit(True))
     hits = paragraphs.where(closing).select("document", "paragraph_id", "section")
     gap = F.lead("paragraph_id").over(paragraph_order()) - F.col("paragraph_id")
-    last = hits.withColumn("gap", gap).join(real, ["document", "paragraph_id"]).where("gap is null or gap > 8")
+    last = hits.withColumn("gap", gap).join(real, ["document", "paragraph_id"]).where(f"gap is null or gap > {GAP}")
     begin = last.groupBy("document", "section").agg(F.min("paragraph_id").alias("begin"))
     joined = paragraphs.join(begin, ["document", "section"], "left")
     return joined.withColumn("section", F.when(F.col("paragraph_id") > F.col("begin"), "Signature Block").otherwise(F.col("section"))).select(*paragraphs.columns)

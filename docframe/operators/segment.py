@@ -130,10 +130,9 @@ def page_numbers(elements: DataFrame) -> DataFrame:
 
 def section_fill(paragraphs: DataFrame, starts: DataFrame) -> DataFrame:
     """Each paragraph with the section that started last at or before it; before the first, its own."""
-    rows = paragraphs.drop("section").join(starts.select("document", "paragraph_id", F.col("section").alias("start")), ["document", "paragraph_id"], "left")
-    own = paragraphs.select("document", "paragraph_id", F.col("section").alias("own"))
-    filled = F.last("start", ignorenulls=True).over(paragraph_order().rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("filled", filled).join(own, ["document", "paragraph_id"], "left").withColumn("section", F.coalesce("filled", "own")).drop("start", "filled", "own")
+    rows = paragraphs.join(starts.select("document", "paragraph_id", F.col("section").alias("_start")), ["document", "paragraph_id"], "left")
+    filled = F.last("_start", ignorenulls=True).over(paragraph_order().rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("section", F.coalesce(filled, "section")).drop("_start")
 
 
 def boundary_filter(paragraphs: DataFrame) -> DataFrame:
@@ -187,33 +186,46 @@ def paragraph_repair(paragraphs: DataFrame, body: DataFrame) -> DataFrame:
     it grows, so this is done document by document in Python.
     """
     import re
+    from collections import Counter
 
-    def tags_of(p: str) -> list[int]:
-        return [int(m) for m in re.findall(r"<\w*?(\d+)>", p)]
+    def body_size(p: str):
+        """The size most frequent among the distinct tags; of equals the greatest."""
+        sizes = Counter(int(m[1]) for m in (re.search(r"(\d+)$", tag) for tag in set(re.findall(r"</?([^( /><.)]+)>", p))) if m)
+        return max(sizes, key=lambda s: (sizes[s], s)) if sizes else None
 
-    def mode(p: str):
-        sizes = tags_of(p)
-        return max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else None
+    def first_size(p: str) -> int:
+        tag = re.search(r"<(\w+)>", p)
+        number = tag and re.search(r"(\d+)$", tag[1])
+        return int(number[1]) if number else 0
 
     def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         size = table["body"].iloc[0]
         kept: list[list] = []
+        # The kept paragraphs that can be hosts; the last one takes the next broken paragraph.
+        hosts: list[int] = []
+
+        def can_host(p: str) -> bool:
+            return body_size(p) == size and "Página No." not in p and first_size(p) >= size
+
         for pid, text in table.sort_values("paragraph_id")[["paragraph_id", "text"]].itertuples(index=False):
-            plain = re.sub(r"<[^>]*>", "", text or "").strip()
-            own = mode(text or "")
-            if plain and plain[0].islower() and own is not None and own == size:
-                if len(plain.split()) == 1:
-                    continue
-                host = next((k for k in reversed(kept) if mode(k[1]) == own and "Página No." not in k[1] and (tags_of(k[1]) or [0])[0] >= size), None)
-                if host is None:
-                    continue
-                first, last = re.search(r"<(\w+)>", text), re.findall(r"</(\w+)>\s*$", host[1])
-                if first and last and first[1] == last[0]:
-                    host[1] = re.sub(r"</\w+>\s*$", "", host[1]) + " " + text[first.end():].lstrip()
-                else:
-                    host[1] = host[1] + " " + text
-            else:
+            text = text or ""
+            plain = re.sub(r"<[^>]*>", "", text).strip()
+            if not (plain and plain[0].islower() and body_size(text) == size):
                 kept.append([pid, text])
+                if can_host(text):
+                    hosts.append(len(kept) - 1)
+                continue
+            if len(plain.split(" ")) == 1 or not hosts:
+                continue
+            host = kept[hosts[-1]]
+            first, last = re.search(r"<(\w+)>", text), re.findall(r"</(\w+)>", host[1])
+            if first and last and first[1] == last[-1]:
+                host[1] = host[1][: host[1].rindex(f"</{last[-1]}>")] + " " + text[first.end() :]
+            else:
+                host[1] = host[1] + " " + text
+            host[1] = host[1].replace("  ", " ")
+            if not can_host(host[1]):
+                hosts.pop()
         return pd.DataFrame({"document": key[0], "paragraph_id": [k[0] for k in kept], "text": [k[1] for k in kept]})
 
     return paragraphs.select("document", "paragraph_id", "text").join(body, "document", "left").groupBy("document").applyInPandas(run, "document bigint, paragraph_id int, text string")

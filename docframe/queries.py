@@ -260,12 +260,7 @@ _ALIASES = "(VALUES " + ", ".join(f"({k}, {_q(s)}, {_q(a)})" for k, (s, a) in en
 
 
 @query("closest_alias", f"""SELECT id, arg_min(section, d * 1000 + ord) AS section, arg_min(alias, d * 1000 + ord) AS alias, min(d)::INTEGER AS distance FROM (
-    SELECT p.id, a.*, levenshtein(regexp_replace(strip_accents(lower(p.text)), '[^\\x00-\\x7F]', '?', 'g'), a.alias) AS d FROM {_P} p, {_ALIASES} WHERE length(p.text) < 75) GROUP BY id""")
-def _(t):
-    return _closest(t.P.where(F.length("text") < 75))
-
-
-@query("closest_alias_all")
+    SELECT p.id, a.*, levenshtein(regexp_replace(strip_accents(lower(p.text)), '[^\\x00-\\x7F]', '?', 'g'), a.alias) AS d FROM {_P} p, {_ALIASES} WHERE p.text IS NOT NULL) GROUP BY id""")
 def _(t):
     return _closest(t.P.where("text is not null"))
 
@@ -493,7 +488,7 @@ def _(t):
 
 
 _FONTS = "['Times-Bold', 'Arial-BoldItalic', 'Courier', 'Times-Italic']"
-_GLYPHS = f"(SELECT document, 1 AS page, paragraph_id AS element, k AS pos, substr(text, k, 1) AS ch, {_FONTS}[(k // 7 + paragraph_id) % 4 + 1] AS fontname, (8 + (k // 14) % 3 * 2.5)::DOUBLE AS size FROM (SELECT *, unnest(range(1, least(length(text), 60) + 1)) AS k FROM {_P} WHERE document < 20 AND length(text) > 0))"
+_GLYPHS = f"(SELECT document, 1 AS page, paragraph_id AS element, k AS pos, substr(text, k, 1) AS ch, {_FONTS}[(k // 7 + paragraph_id) % 4 + 1] AS fontname, (8 + (k // 14) % 3 * 2.5)::DOUBLE AS size FROM (SELECT *, unnest(range(1, length(text) + 1)) AS k FROM {_P} WHERE length(text) > 0))"
 
 
 def _glyphs(paragraphs: DataFrame) -> DataFrame:
@@ -503,18 +498,8 @@ def _glyphs(paragraphs: DataFrame) -> DataFrame:
     return rows.select("document", F.lit(1).alias("page"), F.col("paragraph_id").alias("element"), F.lit(1).alias("line"), F.col("k").alias("pos"), F.col("text").substr(F.col("k"), F.lit(1)).alias("ch"), font.alias("fontname"), (8 + F.floor(F.col("k") / 14) % 3 * 2.5).cast("double").alias("size"))
 
 
-def _starts(t) -> DataFrame:
-    """What the SQL of glyph_runs and font_label covers; glyph_runs_all and font_label_all take all paragraphs, whole."""
-    return t.P.where("document < 20").withColumn("text", F.left("text", F.lit(60)))
-
-
 @query("glyph_runs", f"""SELECT document, page, element, run, first(fontname) AS fontname, first(size) AS size, string_agg(ch, '' ORDER BY pos) AS text FROM (
     SELECT *, sum(turn) OVER (PARTITION BY document, element ORDER BY pos)::BIGINT AS run FROM (SELECT *, CASE WHEN lag(fontname) OVER w = fontname AND lag(size) OVER w = size THEN 0 ELSE 1 END AS turn FROM {_GLYPHS} WINDOW w AS (PARTITION BY document, element ORDER BY pos))) GROUP BY document, page, element, run""")
-def _(t):
-    return segment.glyph_runs(_glyphs(_starts(t)))
-
-
-@query("glyph_runs_all")
 def _(t):
     return segment.glyph_runs(_glyphs(t.P))
 
@@ -524,11 +509,6 @@ def _font_labels(glyphs: DataFrame) -> DataFrame:
 
 
 @query("font_label", f"SELECT DISTINCT fontname, size, CASE WHEN contains(upper(fontname), 'BOLD') AND contains(upper(fontname), 'ITALIC') THEN 'bold_italic' WHEN contains(upper(fontname), 'BOLD') THEN 'bold' WHEN contains(upper(fontname), 'ITALIC') THEN 'italic' ELSE 'regular' END || round_even(size, 0)::INTEGER AS label FROM {_GLYPHS}")
-def _(t):
-    return _font_labels(_glyphs(_starts(t)))
-
-
-@query("font_label_all")
 def _(t):
     return _font_labels(_glyphs(t.P))
 
@@ -797,9 +777,10 @@ def _(t):
     return joins.ids_by_name(docs.select(F.concat(F.lit("/data/in/"), "name", F.lit(".xml")).alias("name")), docs)
 
 
-@query("meta_prefix_lookup", "SELECT n.name, min(d.id) AS id FROM (SELECT DISTINCT left(name, 5) AS name FROM docs WHERE length(name) >= 5) n JOIN docs d ON starts_with(d.name, n.name) GROUP BY n.name")
+@query("meta_prefix_lookup", "SELECT n.name, min(d.id) AS id FROM (SELECT DISTINCT left(name, k) AS name FROM docs, (VALUES (1), (2), (5), (7)) v(k) WHERE length(name) >= k) n JOIN docs d ON starts_with(d.name, n.name) GROUP BY n.name")
 def _(t):
-    names = t["docs"].where(F.length("name") >= 5).select(F.left("name", F.lit(5)).alias("name")).distinct()
+    size = F.explode(F.array(*map(F.lit, (1, 2, 5, 7)))).alias("k")
+    names = t["docs"].select("name", size).where(F.length("name") >= F.col("k")).select(F.left("name", F.col("k")).alias("name")).distinct()
     return joins.by_prefix(t["docs"], names)
 
 
@@ -825,9 +806,9 @@ def _(t):
     return stats.length_by_section(t.S)
 
 
-@query("agg_sections", f"SELECT * FROM {_STATS} WHERE document = 7")
+@query("agg_sections", f"SELECT * FROM {_STATS}")
 def _(t):
-    return stats.length_by_section(t.S, 7)
+    return stats.length_by_section(t.S)
 
 
 def _time_sql(by_type: bool) -> str:
@@ -1073,12 +1054,7 @@ def _(t):
     return out[0].unionByName(out[1]).unionByName(out[2]).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("src_text", f"SELECT document, count(*) AS paragraphs FROM {_P} WHERE text IS NOT NULL AND document < 30 GROUP BY document")
-def _(t):
-    return _text_round_trip(t, t.P.where("text is not null and document < 30"))
-
-
-@query("src_text_all", f"SELECT document, count(*) AS paragraphs FROM {_P} WHERE text IS NOT NULL GROUP BY document")
+@query("src_text", f"SELECT document, count(*) AS paragraphs FROM {_P} WHERE text IS NOT NULL GROUP BY document")
 def _(t):
     return _text_round_trip(t, t.P.where("text is not null"))
 
@@ -1144,15 +1120,7 @@ def _(t):
     return files.read_texts(t.spark, path, "*.txt").agg(F.count("*").alias("documents"))
 
 
-@query("xml_to_text_files", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '</?[^( /><.)]+>', '', 'g'), '[\\r\\n]', ' ', 'g'), ' ') AS text FROM documents WHERE text IS NOT NULL AND lang = 'fr'")
-def _(t):
-    path = _fresh(t, "raw")
-    rows = t["documents"].where("text is not null and lang = 'fr'").select("doc_id", F.trim(F.regexp_replace(markup.raw_text(F.col("text")), "[\r\n]", " ")).alias("text"))
-    rows.write.partitionBy("doc_id").text(path)
-    return t.spark.read.text(path).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("value").alias("text"))
-
-
-@query("xml_to_text_files_all", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '</?[^( /><.)]+>', '', 'g'), '[\\r\\n]', ' ', 'g'), ' ') AS text FROM documents WHERE text IS NOT NULL")
+@query("xml_to_text_files", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '</?[^( /><.)]+>', '', 'g'), '[\\r\\n]', ' ', 'g'), ' ') AS text FROM documents WHERE text IS NOT NULL")
 def _(t):
     # A line for each document, so that the number of files doesn't grow with that of documents.
     path = _fresh(t, "raw")

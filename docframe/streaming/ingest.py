@@ -1,7 +1,7 @@
 """Incremental ingestion with Structured Streaming.
 
 Row-local functions run unchanged on a stream; document-level operators run on each micro-batch, as a document arrives
-whole.  A document ingested again replaces its rows.
+whole.  Each batch has a folder of its own; of a document ingested again, readers take the rows of the latest batch.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ def read_stream(spark: SparkSession, path: str, schema, files_a_batch: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def run_batches(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, partition_by: str = "document") -> StreamingQuery:
+def run_batches(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Apply a document-level operator to each micro-batch and write its rows, by batch, once each.
 
     A batch run again after a failure overwrites its own folder, so rows are never doubled.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        operator(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        operator(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -186,3 +186,25 @@ def test_stream(spark, tmp_path):
     stream = ingest.read_stream(spark, str(tmp_path / "in"), texts.schema)
     ingest.run_batches(stream, segment.paragraph_table, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_broken_paragraphs_join_their_host(spark):
+    rows = [
+        (1, 0, "\n<regular12>Uno dos</regular12>\n"), (1, 1, "\n<regular12>y tres</regular12>\n"),
+        (1, 2, "\n<regular8>a</regular8><regular8>b</regular8><regular8>c</regular8><bold12>d</bold12><italic12>E f</italic12>\n"),
+        (1, 3, "\n<regular12>palabra</regular12>\n"), (1, 4, "\n<regular12>Página No. 3</regular12>\n"), (1, 5, "\n<regular12>Cuatro</regular12>\n"), (1, 6, "\n<bold12>cinco seis</bold12>\n"),
+        (1, 7, None), (2, 0, "\n<regular12>sin huésped</regular12>\n"), (2, 1, ""),
+    ]
+    paragraphs = spark.createDataFrame(rows, "document bigint, paragraph_id int, text string")
+    body = spark.createDataFrame([(1, 12), (2, 12)], "document bigint, body int")
+    got = {(r["document"], r["paragraph_id"]): r["text"] for r in segment.paragraph_repair(paragraphs, body).collect()}
+    assert set(got) == {(1, 0), (1, 4), (1, 5), (1, 7), (2, 1)}
+    # Of distinct tags most have size 12, so the paragraph with three runs of size 8 is joined too.
+    assert got[1, 0] == "\n<regular12>Uno dos y tres</regular12>\n " + rows[2][2] and got[1, 5] == rows[5][2] + " " + rows[6][2]
+
+
+def test_prefixes_of_any_length(spark):
+    cases = spark.createDataFrame([(1, "T-123-05"), (2, "T-1"), (3, "C-9"), (4, None)], "id bigint, name string")
+    names = spark.createDataFrame([("T-",), ("T-1",), ("C",), ("T-123-05",), ("X",), (None,), ("t",), ("T-",)], "name string")
+    assert sorted(tuple(r) for r in joins.by_prefix(cases, names).collect()) == [("C", 3), ("T-", 1), ("T-1", 1), ("T-123-05", 1)]
+    assert joins.by_prefix(cases.limit(0), names).count() == 0

@@ -31,23 +31,23 @@ def test_glyphs_of_all_documents_and_whole_texts(spark, folder):
     for (d, p), t in texts.items():
         runs = groupby(enumerate(t or "", 1), lambda x: glyph_font(x[0], p))
         true |= {(d, p, run, *font, "".join(ch for _, ch in chars)) for run, (font, chars) in enumerate(runs, 1)}
-    found = [(r["document"], r["element"], r["run"], r["fontname"], r["size"], r["text"]) for r in queries()["glyph_runs_all"](spark, folder).collect()]
+    found = [(r["document"], r["element"], r["run"], r["fontname"], r["size"], r["text"]) for r in queries()["glyph_runs"](spark, folder).collect()]
     assert len(found) == len(true) and set(found) == true
-    labels = {(r["fontname"], r["size"]) for r in queries()["font_label_all"](spark, folder).collect()}
+    labels = {(r["fontname"], r["size"]) for r in queries()["font_label"](spark, folder).collect()}
     assert labels == {r[3:5] for r in true}
 
 
 def test_texts_of_all_documents_come_back(spark, folder):
     rows = [(0, 1, 0, "a"), (1, 1, 1, "b\nc\r\nd"), (2, 29, 0, ""), (3, 30, 0, "e"), (4, 70001, 0, "f"), (5, 70001, 1, None), (6, -3, 0, "g"), (7, None, 0, "h")]
     write(spark, folder, "paragraphs_df", [(k, d, p, "header", t, 0, None) for k, d, p, t in rows], PARAGRAPHS)
-    found = {r["document"]: r["paragraphs"] for r in queries()["src_text_all"](spark, folder).collect()}
+    found = {r["document"]: r["paragraphs"] for r in queries()["src_text"](spark, folder).collect()}
     assert found == {1: 2, 29: 1, 30: 1, 70001: 1, -3: 1, None: 1}
 
 
 def test_documents_of_all_languages_become_text(spark, folder):
     rows = [(1, "<p>Un texte</p>\n<b>gras</b>", "fr"), (2, "<p>Un texto</p>\r\n\tmás ", "es"), (3, "sin etiqueta", None), (4, "", "de"), (5, None, "fr"), (6, "bon", "French"), (6, "bon", "French"), (None, "x\ty", "en")]
     write(spark, folder, "documents", rows, "doc_id bigint, text string, lang string")
-    found = [(r["doc_id"], r["text"]) for r in queries()["xml_to_text_files_all"](spark, folder).collect()]
+    found = [(r["doc_id"], r["text"]) for r in queries()["xml_to_text_files"](spark, folder).collect()]
     true = [(1, "Un texte gras"), (2, "Un texto  \tmás"), (3, "sin etiqueta"), (4, ""), (6, "bon"), (6, "bon"), (None, "x\ty")]
     assert sorted(found, key=str) == sorted(true, key=str)
 
@@ -70,4 +70,4 @@ def test_closest_alias_of_long_paragraphs(spark, folder):
         if t is not None:
             d, at = min((levenshtein(t, a), at) for at, (_, a) in enumerate(pairs))
             true.add((k, *pairs[at], d))
-    assert {(r["id"], r["section"], r["alias"], r["distance"]) for r in queries()["closest_alias_all"](spark, folder).collect()} == true
+    assert {(r["id"], r["section"], r["alias"], r["distance"]) for r in queries()["closest_alias"](spark, folder).collect()} == true

@@ -21,6 +21,8 @@ from docframe.plans.lineage import materialise, release
 BINS = 200
 #: Groups that one task balances.
 GROUPS_AT_ONCE = 20_000
+#: Vectors of bins that one task differences with each other, and the most splits.
+VECTORS_AT_ONCE, MOST_SPLITS = 100, 1000
 
 # Titles before names, and words of fillers that name nobody.
 TITLES = "dr dra mp mag ponente magistrado magistrada doctor doctora sr sra".split()
@@ -131,6 +133,41 @@ def _balance(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": key[0], "component": table["component"], "weight": table["weight"], "slot": bins})
 
 
+def _fold(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+    """(part, slot, upper, place): the place of each bin of some parts in the vector that they are differenced into."""
+    vectors = table.pivot(index="part", columns="slot", values="weight").reindex(columns=range(BINS)).fillna(0)
+    values, total, out = vectors.to_numpy(float), np.zeros(BINS), []
+    for k in np.argsort(-(values.max(axis=1) - values.min(axis=1)), kind="stable"):
+        place = np.empty(BINS, int)
+        place[np.argsort(-values[k], kind="stable")] = np.argsort(total, kind="stable")
+        np.add.at(total, place, values[k])
+        out.append(pd.DataFrame({"part": vectors.index[k], "slot": range(BINS), "upper": key[0], "place": place}))
+    return pd.concat(out)
+
+
+def _bins_to_splits(sums: DataFrame, parts: int, shares: dict[str, float]) -> DataFrame:
+    """(part, slot, split) of sums (part, slot, weight): the parts' vectors are folded in a tree of tasks to one, whose bins alone come to the driver."""
+    spark = sums.sparkSession
+    maps = []
+    while True:
+        # At least one fold, so that a single part is handled like many.
+        upper = sums.withColumn("upper", F.floor(F.col("part") / VECTORS_AT_ONCE).cast("int"))
+        maps.append(materialise(upper.groupBy("upper").applyInPandas(_fold, "part int, slot int, upper int, place int"), "p1_fold"))
+        folded = maps[-1].join(sums, ["part", "slot"], "left").groupBy(F.col("upper").alias("part"), F.col("place").alias("slot")).agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("bigint").alias("weight"))
+        sums = materialise(folded, "p1_sums")
+        parts = -(-parts // VECTORS_AT_ONCE)
+        if parts <= 1:
+            break
+    top = np.zeros(BINS)
+    for r in sums.where("part = 0").collect():
+        top[r["slot"]] = r["weight"]
+    splits = _allocate(top, shares) if shares else [""] * BINS
+    lookup = spark.createDataFrame([(0, k, s) for k, s in enumerate(splits)], "upper int, place int, split string")
+    for fold in reversed(maps):
+        lookup = fold.join(lookup, ["upper", "place"]).select("part", "slot", "split").withColumnsRenamed({"part": "upper", "slot": "place"})
+    return lookup.withColumnsRenamed({"upper": "part", "place": "slot"})
+
+
 def _allocate(sums: np.ndarray, shares: dict[str, float]) -> list[str]:
     """Whole bins, fullest first, to the split that lacks most."""
     lack = {s: share * sums.sum() for s, share in shares.items()}
@@ -148,8 +185,10 @@ def assign_splits(docs: DataFrame, paragraphs: DataFrame, targets: DataFrame) ->
     Ids that docs does not know, and null ids taken together, are groups of their own.  With one group over a split's
     whole share, that split gets more than its share; the rest is balanced around it.
     """
-    spark = docs.sparkSession
-    shares = {r["split"]: float(r["share"]) for r in targets.where("split is not null and share > 0").limit(1000).collect()}
+    listed = targets.where("split is not null and share > 0").limit(MOST_SPLITS + 1).collect()
+    if len(listed) > MOST_SPLITS:
+        raise ValueError(f"over {MOST_SPLITS} splits")
+    shares = {r["split"]: float(r["share"]) for r in listed}
     sizes = paragraphs.groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
     tied = groups(docs)
     rows = sizes.join(tied, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "paragraphs")
@@ -158,18 +197,6 @@ def assign_splits(docs: DataFrame, paragraphs: DataFrame, targets: DataFrame) ->
     parts = weights.count() // GROUPS_AT_ONCE + 1
     slots = weights.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts)).cast("int")).groupBy("part").applyInPandas(_balance, "part int, component bigint, weight bigint, slot int")
     slots = materialise(slots, "p1_slots")
-    sums = slots.groupBy("part", "slot").agg(F.sum("weight").alias("weight")).toPandas()  # BINS rows for each part
-    vectors = sums.pivot(index="part", columns="slot", values="weight").reindex(columns=range(BINS)).fillna(0).to_numpy(float) if len(sums) else np.zeros((0, BINS))
-    final = np.zeros((len(vectors), BINS), int)
-    total = np.zeros(BINS)
-    for k in np.argsort(-(vectors.max(axis=1) - vectors.min(axis=1))) if len(vectors) else []:
-        place = np.empty(BINS, int)
-        place[np.argsort(-vectors[k], kind="stable")] = np.argsort(total, kind="stable")
-        final[k] = place
-        np.add.at(total, place, vectors[k])
-    splits = _allocate(total, shares) if shares else [""] * BINS
-    parts_of = sorted(sums["part"].unique()) if len(sums) else []
-    table = [(int(p), s, splits[final[k, s]]) for k, p in enumerate(parts_of) for s in range(BINS)]
-    lookup = spark.createDataFrame(table, "part int, slot int, split string")
+    lookup = _bins_to_splits(slots.groupBy("part", "slot").agg(F.sum("weight").alias("weight")), parts, shares)
     by_group = slots.join(lookup, ["part", "slot"]).select("component", "split")
     return rows.join(by_group, rows["component"].eqNullSafe(by_group["component"])).select("doc_id", rows["component"], "paragraphs", "split")

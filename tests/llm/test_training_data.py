@@ -73,6 +73,24 @@ def test_splits_keep_groups_and_shares(spark):
         assert abs(sum(r["paragraphs"] for r in rows if r["split"] == split) / total - share) < 0.02
 
 
+def test_splits_of_many_parts(spark, monkeypatch):
+    """Parts folded in a tree of several levels keep the shares as one heap does."""
+    monkeypatch.setattr(splits, "GROUPS_AT_ONCE", 40)
+    rng = np.random.default_rng(5)
+    weights = (rng.pareto(2, 3000) * 3 + 1).astype(int)
+    sums = []
+    for part in range(75):
+        w = weights[part::75]
+        sums += [(part, b, int(x)) for b, x in enumerate(np.bincount(splits.difference(w.astype(float), splits.BINS), w, splits.BINS)) if x]
+    monkeypatch.setattr(splits, "VECTORS_AT_ONCE", 4)
+    shares = {"train": 0.7, "val": 0.2, "test": 0.1}
+    df = spark.createDataFrame(sums, "part int, slot int, weight bigint")
+    got = {(r["part"], r["slot"]): r["split"] for r in splits._bins_to_splits(df, 75, shares).collect()}
+    total = sum(x for *_, x in sums)
+    for split, share in shares.items():
+        assert abs(sum(x for p, b, x in sums if got[p, b] == split) / total - share) < 0.005
+
+
 def test_splits_of_nothing(spark):
     docs, paragraphs = spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id bigint")
     targets = spark.createDataFrame([("train", 1.0)], "split string, share double")

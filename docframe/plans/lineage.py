@@ -8,12 +8,14 @@ size.  The folder is read from the session; only where it is unset (tests, a lap
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,7 +37,8 @@ def materialise(df: DataFrame, name: str = "t", partition_by: list[str] | None =
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with shuffles_removed(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,10 +59,15 @@ def release(df: DataFrame) -> None:
             _written.remove(item)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that have ended: its cleaner does so once their driver objects are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside delete their shuffle files as they end, which nothing reads again once their result is written or collected."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -34,7 +34,7 @@ def materialise(df: DataFrame, name: str = "t", partition_by: list[str] | None =
     """Write ``df`` below the shared folder and return the table read back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    writer = df.write.mode("error")
+    writer = df.write.mode("error").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with shuffles_removed(spark):

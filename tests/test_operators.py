@@ -2,6 +2,8 @@
 
 import json
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +210,26 @@ def test_prefixes_of_any_length(spark):
     names = spark.createDataFrame([("T-",), ("T-1",), ("C",), ("T-123-05",), ("X",), (None,), ("t",), ("T-",)], "name string")
     assert sorted(tuple(r) for r in joins.by_prefix(cases, names).collect()) == [("C", 3), ("T-", 1), ("T-1", 1), ("T-123-05", 1)]
     assert joins.by_prefix(cases.limit(0), names).count() == 0
+
+
+@pytest.mark.parametrize("most", [300, 1_000_000])
+def test_unique_containing_as_by_comparing_all(spark, monkeypatch, most):
+    """A long document is cut into blocks of either side; no text is compared with every paragraph."""
+    r = random.Random(most)
+    word = lambda n: "".join(r.choice("abñ😀 ") for _ in range(n))
+    texts = [None, "", *(word(r.randint(1, 60)) for _ in range(120))]
+    bodies = [(r.choice([1, 1, 1, 2, 3, None]), r.choice(texts), r.choice(["x", "y", None])) for _ in range(240)]
+    part = lambda b: (lambda k: b[k : k + r.randint(1, 40)])(r.randint(0, len(b)))
+    asked = [(r.choice([1, 1, 2, 3, 4, None]), r.choice([k, k, k, 7, None]), r.choice([None, "", word(3), *[part(r.choice(bodies)[1] or "a")] * 6])) for k in range(400)]
+    n, section = Counter(), {}
+    for d, i, t in asked:
+        hits = [s for of, b, s in bodies if t and d is not None and of == d and b and t in b]
+        n[d, i] += len(hits)
+        section |= {(d, i): s for s in hits}
+    true = Counter((d, i, (section[d, i] if i is not None and n[d, i] == 1 else None) or "unmatched") for d, i, _ in asked)
+    monkeypatch.setattr(joins, "TEXTS", most)
+    monkeypatch.setattr(joins, "BODIES", most)
+    found = joins.unique_containing(spark.createDataFrame(asked, "document bigint, text_id bigint, text string"), spark.createDataFrame(bodies, "document bigint, text string, section string"))
+    assert Counter(map(tuple, found.collect())) == true and sum(n for (*_, s), n in true.items() if s != "unmatched") > 5
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(" not in physical

@@ -494,3 +494,13 @@ def test_difflib_agrees_on_equal_runs():
     (start, length), = spans._runs(a, b, 4, 160)
     match = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
     assert (start, length) == (match.a, match.size)
+
+
+def test_postings_are_joined_a_slice_at_a_time(spark, monkeypatch):
+    """Shuffle files of a fraction of the keys stand beside the postings; every key is in one slice."""
+    rows = [(k, " ".join(f"w{k // 2}x{j}" for j in range(40)) + (" more" if k % 2 else ""), "val" if k % 2 else "train", "s", 1, k) for k in range(60)]
+    joined, seen = overlap._joined, []
+    monkeypatch.setattr(overlap, "_joined", lambda index, probe, k: seen.append((k, index.count(), joined(index, probe, k).count())) or joined(index, probe, k))
+    found = {(r["record_id_a"], r["record_id_b"]) for r in overlap.overlaps(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert found == {(k, k + 1) for k in range(0, 60, 2)}
+    assert [k for k, *_ in seen] == list(range(overlap.SLICES)) and all(0 < n < of for _, of, n in seen)

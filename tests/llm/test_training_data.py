@@ -275,6 +275,32 @@ def test_overlaps_of_texts_that_repeat_themselves(spark):
     assert {(r[0], r[1]) for r in overlap.overlaps(spark.createDataFrame(rows, RECORDS)).collect()} == brute_overlaps(rows)
 
 
+@pytest.mark.parametrize("vocabulary", [120, 12])
+def test_overlaps_with_words_left_out_and_others_added_elsewhere(spark, vocabulary):
+    """A fifth of the words of either side is on its own, never at one place: no run of three words is left."""
+    rng = random.Random(9)
+    rows, k, own = [], 0, set()
+    for n in [20, 23, 25, 30, 40, 43, 44, 55, 64, 90, 100, 135, 160, 190, 195, 196, 200, 240, 333, 1000]:
+        for shift in range(3):
+            w = [rng.choice(WORDS[:vocabulary]) for _ in range(n)]
+            left, more = n // 5, n // 5
+            v = []
+            for i, x in enumerate(w):
+                if i % 5 == (shift + 2) % 5 and more:
+                    v.append(rng.choice(WORDS[:vocabulary]) if vocabulary < 50 else f"mas{i}")
+                    more -= 1
+                if i % 5 == shift and left:
+                    left -= 1
+                else:
+                    v.append(x)
+            rows += [(k, " ".join(w), "val" if shift else "train", "a", 1, 2), (k + 1, " ".join(v), "train" if shift else "test", "a", 1, 2)]
+            own.add((k, k + 1))
+            k += 2
+    true = brute_overlaps(rows)
+    assert len(true & own) == len(own)
+    assert {(r[0], r[1]) for r in overlap.overlaps(spark.createDataFrame(rows, RECORDS)).collect()} == true
+
+
 # --- p5 -----------------------------------------------------------------------------------------------------------
 OUTPUTS = "record_id bigint, output string, label string, signature string"
 TARGETS = "label string, share double, min_rows int"

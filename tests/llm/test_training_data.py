@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docframe.llm import langid, leakage, overlap, packing, pieces, quota, spans, splits
-from docframe.llm.words import words_of
+from docframe.llm.words import word_hashes, words_of
 
 WORDS = [f"{a}{b}" for a in "ba ce di fo gu la me ni po ru sa te".split() for b in "ban cer dil fon gur lam men nip por rus".split()]
 
@@ -301,6 +301,24 @@ def test_overlaps_with_words_left_out_and_others_added_elsewhere(spark, vocabula
     assert {(r[0], r[1]) for r in overlap.overlaps(spark.createDataFrame(rows, RECORDS)).collect()} == true
 
 
+def test_records_of_common_words_meet_in_groups_and_others_seldom():
+    rng = random.Random(12)
+    common = [f"voz{k}" for k in range(120)]
+    e = [[x for _ in range(9) for x in (*rng.sample(common, 8), f"nombre{rng.randrange(10**9)}")] for _ in range(60)]
+    t = [[f"otro{i}" if x.startswith("nombre") else x for i, x in enumerate(w)] for w in e]
+    (he, oe), (ht, ot) = (word_hashes([" ".join(w) for w in side]) for side in (e, t))
+    ranks = np.zeros(1 << overlap.SKETCH_BITS, np.uint16)
+    cells = (overlap.shingles(word_hashes([" ".join(common)])[0], 1) & np.uint64(len(ranks) - 1)).astype(np.int64)
+    ranks[cells] = np.arange(1, len(common) + 1)
+    keys = [[{*()} for _ in e] for _ in "et"]
+    for side, h, o in ((0, he, oe), (1, ht, ot)):
+        for who, key, _ in overlap._grouped(h, o, np.ones(len(e), bool), (ranks > 0, ranks), side == 0):
+            for i, k in zip(who.tolist(), key.tolist()):
+                keys[side][i].add(k)
+    met = {(i, j) for i, a in enumerate(keys[0]) for j, b in enumerate(keys[1]) if a & b}
+    assert {(i, i) for i in range(len(e))} <= met and len(met) < len(e) ** 2 // 10
+
+
 # --- p5 -----------------------------------------------------------------------------------------------------------
 OUTPUTS = "record_id bigint, output string, label string, signature string"
 TARGETS = "label string, share double, min_rows int"
